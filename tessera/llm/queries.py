@@ -46,3 +46,49 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     from tessera.llm.split import split
 
     return split(table(spark, d, "content_units"), "id", "text", 4000, 200).withColumnRenamed("id", "unit_id")
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.llm.boilerplate import find_repeated
+
+    return find_repeated(table(spark, d, "page_blocks"), "block_id", "source_id", "asset_id", "text")
+
+
+@query
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.llm.boilerplate import remove_repeated
+
+    blocks = table(spark, d, "page_blocks").select("block_id", "source_id", "asset_id", "text").distinct()
+    return remove_repeated(blocks, "block_id", "source_id", "asset_id", "text").select("block_id", "clean_text", "removed")
+
+
+SQL["p5_found"] = r"""
+WITH l AS (
+  SELECT DISTINCT block_id, source_id, asset_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no,
+         regexp_replace(lower(unnest(string_split(text, chr(10)))), '[^\p{L}]+', '', 'g') AS k
+  FROM page_blocks WHERE text IS NOT NULL AND source_id IS NOT NULL AND asset_id IS NOT NULL),
+a AS (SELECT source_id, count(DISTINCT asset_id) AS assets FROM page_blocks WHERE asset_id IS NOT NULL GROUP BY source_id),
+c AS (SELECT source_id, k, count(DISTINCT asset_id) AS n FROM l WHERE k <> '' GROUP BY source_id, k)
+SELECT DISTINCT block_id, line_no FROM l JOIN c USING (source_id, k) JOIN a USING (source_id)
+WHERE n >= 3 AND n >= 0.15 * assets
+"""
+
+
+@query
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.llm.encode import encode
+
+    return encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+#: Tokens that a container of problem 9 holds.
+CAPACITY = 2048
+
+
+@query
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, piece_no, start, size, container) of every document, sizes in tokens of byte_bpe_50k."""
+    from tessera.llm.pack import pack, token_counts
+
+    return pack(token_counts(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "size", CAPACITY)
