@@ -92,3 +92,18 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     from tessera.llm.pack import pack, token_counts
 
     return pack(token_counts(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "size", CAPACITY)
+
+
+def vectors_of_units(spark: SparkSession, d: str) -> DataFrame:
+    """(vec_key, vector) of the units' and the translations' vectors, as one collection."""
+    units = table(spark, d, "unit_embeddings").select(F.col("unit_id").alias("vec_key"), "vector")
+    translations = table(spark, d, "unit_translation_embeddings").select(F.concat_ws(" ", "unit_id", F.coalesce("lang", F.lit(""))).alias("vec_key"), "vector")
+    return units.unionByName(translations)
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.llm.neighbours import nearest
+
+    near = nearest(vectors_of_units(spark, d), "vec_key", "vector", 64, 5, 0.88)
+    return near.select(F.least("key", "neighbour").alias("vec_key_a"), F.greatest("key", "neighbour").alias("vec_key_b")).distinct()
