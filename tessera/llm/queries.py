@@ -107,3 +107,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
     near = nearest(vectors_of_units(spark, d), "vec_key", "vector", 64, 5, 0.88)
     return near.select(F.least("key", "neighbour").alias("vec_key_a"), F.greatest("key", "neighbour").alias("vec_key_b")).distinct()
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.llm.versions import version_links
+
+    return version_links(table(spark, d, "content_units"), "id", "title", "text").withColumnsRenamed({"key_a": "unit_id_a", "key_b": "unit_id_b"})
