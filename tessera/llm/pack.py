@@ -184,14 +184,11 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
         F.col(f"`{key}`"), F.col("piece_no").cast("int"), ((F.col("piece_no") - 1) * capacity).alias("start"), F.least(F.col("_whole") - (F.col("piece_no") - 1) * capacity, F.lit(capacity)).alias("size")
     ).withColumn("salt", F.pmod(F.xxhash64(F.col(f"`{key}`"), "piece_no"), F.lit(SALT)).cast("int"))
     pieces = cut_lineage(pieces)  # the histogram and the placement see the same rows, and sizes are measured once
-    by = pieces.filter("size > 0").groupBy("size", "salt").agg(F.count("*").alias("n")).collect()  # at most capacity x SALT rows
-    offset: dict[tuple[int, int], int] = {}
-    histogram: dict[int, int] = {}
-    for s, salt, n in sorted((r["size"], r["salt"], r["n"]) for r in by):
-        offset[s, salt] = histogram.get(s, 0)
-        histogram[s] = offset[s, salt] + n
+    counts = pieces.filter("size > 0").groupBy("size", "salt").agg(F.count("*").alias("n"))  # at most capacity x SALT rows
+    before = F.sum("n").over(W.partitionBy("size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select("size", "salt", F.coalesce(before, F.lit(0)).alias("_off"))
+    histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most a row per size
     runs, _ = plan(histogram, capacity)
-    offsets = spark.createDataFrame(pa.table({"size": pa.array([s for s, _ in offset], pa.int64()), "salt": pa.array([x for _, x in offset], pa.int32()), "_off": pa.array(list(offset.values()), pa.int64())}))
     by_size: dict[int, list[tuple[int, int, int, int]]] = {}
     for r in runs:
         by_size.setdefault(r.size, []).append((r.first, r.n, r.per, r.container))

@@ -114,3 +114,22 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     from tessera.llm.versions import version_links
 
     return version_links(table(spark, d, "content_units"), "id", "title", "text").withColumnsRenamed({"key_a": "unit_id_a", "key_b": "unit_id_b"})
+
+
+def label_judgements(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.llm.language import dictionaries, judged
+
+    return judged(table(spark, d, "unit_translations"), table(spark, d, "content_units"), dictionaries(table(spark, d, "lang_samples")))
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.llm.language import wrong_labels
+
+    return wrong_labels(label_judgements(spark, d))
+
+
+@query
+def p6_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment of every judged text, with its language and confidence."""
+    return label_judgements(spark, d).select("tr_id", "field", F.inline("segments"))
