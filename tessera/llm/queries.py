@@ -133,3 +133,24 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_segments(spark: SparkSession, d: str) -> DataFrame:
     """Every segment of every judged text, with its language and confidence."""
     return label_judgements(spark, d).select("tr_id", "field", F.inline("segments"))
+
+
+def subject_shares(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.llm.subjects import labelled, subjects_of, train
+
+    documents = table(spark, d, "documents")
+    names = sorted(r["subject"] for r in table(spark, d, "subjects").select("subject").collect())  # the fixed list of subjects
+    model = train(labelled(documents, table(spark, d, "subject_labels"), "doc_id", "text", "subject", "none"), "doc_id", "text", names)
+    return subjects_of(documents, "doc_id", "text", model, names)
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return subject_shares(spark, d).select("doc_id", "subject").distinct()
+
+
+@query
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by subject and their share of all documents with text."""
+    n = table(spark, d, "documents").filter(F.trim("text") != "").agg(F.count("*").alias("all"))
+    return subject_shares(spark, d).groupBy("subject").agg(F.count("*").alias("documents")).crossJoin(F.broadcast(n)).select("subject", "documents", F.round(F.col("documents") / F.col("all"), 6).alias("share"))
