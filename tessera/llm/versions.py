@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut_lineage, spread
+from tessera.session import spread
 
 #: MinHash bands and rows: two texts of Jaccard similarity s meet with probability 1 - (1 - s**ROWS)**BANDS.
 BANDS, ROWS = 40, 3
@@ -26,7 +26,6 @@ WORDS = re.compile(r"[㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
 
 _RNG = np.random.default_rng(20240229)
 _MULT = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND = _RNG.integers(1, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,9 +77,17 @@ def minhashes(stretches: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (sig.reshape(len(sig), BANDS, ROWS) * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _MIX
-        return _mixed(x).view(np.int64)
+    """(documents, BANDS): 16 bits of each value, those of a band's ROWS values side by side in one number, with the band's own above."""
+    short = (_mixed(sig) >> np.uint64(48)).reshape(len(sig), BANDS, ROWS)
+    x = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), short.shape[:2]).copy()
+    for i in range(ROWS):
+        x = (x << np.uint64(16)) | short[:, :, i]
+    return x.view(np.int64)
+
+
+def values_of(bands: np.ndarray) -> np.ndarray:
+    """The 16 bits of each value back from the bands' keys."""
+    return np.stack([(bands >> (16 * i)) & 0xFFFF for i in reversed(range(ROWS))], axis=2).reshape(len(bands), -1)
 
 
 def least_matches(similarity: float, sizes: list[int], tolerance: float = TOLERANCE) -> list[int]:
@@ -100,41 +107,53 @@ def least_matches(similarity: float, sizes: list[int], tolerance: float = TOLERA
     return out
 
 
-def fingerprints(df: DataFrame, key: str, title: str, text: str, least: int, most: int, width: int) -> DataFrame:
-    """(key, cls, sig, bag, size) of the texts with `least` to `most` words: title and text together as words.
+def fingerprints(df: DataFrame, key: str, title: str, text: str, least: int, most: int, width: int, sketch: bool, bag: bool) -> DataFrame:
+    """(key, cls, bands, bag) of the texts with `least` to `most` words: title and text together as words.
 
-    cls is a hash of the word sequence, so equal texts share it; sig holds the bands' keys and 16 bits of each MinHash value; bag the
-    sorted 32-bit hashes of all stretches, with their multiplicity; size their number.
+    cls is a hash of the word sequence, so equal texts share it; bands holds the MinHash values, 16 bits of each; bag the sorted 32-bit
+    hashes of all stretches, with their multiplicity. With sketch or bag, a partition gives a row for the first text of each class only
+    (as long as it remembers the class), so a class with a third of all rows reaches the shuffle as a row per partition.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
+        shingler, seen = Shingler(width), set()
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                keys, docs = [], []
+                keys, docs, cls = [], [], []
                 for k, head, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     w = words(body)
-                    if least <= len(w) <= most:
-                        keys.append(k)
-                        docs.append((words(head) + w) if head else w)
-                keep = [i for i, d in enumerate(docs) if len(d) >= width]
-                keys, docs = [keys[i] for i in keep], [docs[i] for i in keep]
+                    if not least <= len(w) <= most:
+                        continue
+                    if head:
+                        w = words(head) + w
+                    if len(w) < width:
+                        continue
+                    c = xxhash.xxh3_64_intdigest("\x1f".join(w))
+                    if sketch or bag:
+                        if c in seen:
+                            continue
+                        seen.add(c)
+                    keys.append(k)
+                    docs.append(w)
+                    cls.append(c)
+                if len(seen) > 1_000_000:
+                    seen.clear()
                 if not docs:
                     continue
-                s, ends = shingler(docs)
-                sig = minhashes(s, ends)
-                small = (s >> np.uint64(32)).astype(np.uint32)
-                bags = [np.sort(small[a:b]).tobytes() for a, b in zip(ends, ends[1:], strict=False)]
-                cls = np.array([xxhash.xxh3_64_intdigest("\x1f".join(d)) for d in docs], dtype=np.uint64).view(np.int64)
-                short = (_mixed(sig) >> np.uint64(48)).astype(np.uint16)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.string()), pa.array(cls), pa.FixedSizeListArray.from_arrays(pa.array(band_keys(sig).ravel()), BANDS).cast(pa.list_(pa.int64())), pa.array([r.tobytes() for r in short], pa.binary()), pa.array(bags, pa.binary())],
-                    names=["key", "cls", "bands", "sig", "bag"],
-                )
+                nothing = pa.nulls(len(docs))
+                bands, bags = nothing.cast(pa.list_(pa.int64())), nothing.cast(pa.binary())
+                if sketch or bag:
+                    s, ends = shingler(docs)
+                if sketch:
+                    bands = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(minhashes(s, ends)).ravel()), BANDS).cast(pa.list_(pa.int64()))
+                if bag:
+                    small = (s >> np.uint64(32)).astype(np.uint32)
+                    bags = pa.array([np.sort(small[a:b]).tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(np.array(cls, dtype=np.uint64).view(np.int64)), bands, bags], names=["key", "cls", "bands", "bag"])
 
     rows = df.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{title}`").alias("title"), F.col(f"`{text}`").alias("text")).filter(F.length("text") >= least)
-    return spread(rows).mapInArrow(make, "key string, cls long, bands array<long>, sig binary, bag binary")
+    return spread(rows).mapInArrow(make, "key string, cls long, bands array<long>, bag binary")
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -154,11 +173,11 @@ def version_pairs(df: DataFrame, key: str, title: str, text: str, bar: float = 0
     """
     # With common = bar x the longer, Jaccard is least for texts of equal length.
     jaccard = bar / (2 - bar)
-    prints = cut_lineage(fingerprints(df, key, title, text, least, most, width))
-    members = prints.select("cls", "key").distinct()
-    one = prints.groupBy("cls").agg(F.min("key").alias("key"))  # the member that stands for its class
-    chosen = prints.join(one, ["cls", "key"], "left_semi")
-    bands = chosen.select("cls", F.explode("bands").alias("band")).distinct()
+    make = lambda sketch, bag: fingerprints(df, key, title, text, least, most, width, sketch, bag)
+    # The texts are read three times: keeping the prints of all of them would take more room than all shuffles together.
+    members = make(False, False).select("cls", "key").distinct()
+    # Partitioned by band ahead of the distinct, which then needs no exchange of its own, nor does the join.
+    bands = make(True, False).select("cls", F.explode("bands").alias("band")).repartition("band").distinct()
     left, right = bands.alias("l"), bands.alias("r")
     candidates = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.cls") < F.col("r.cls"))).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
     values = BANDS * ROWS
@@ -170,7 +189,7 @@ def version_pairs(df: DataFrame, key: str, title: str, text: str, bar: float = 0
             n = batch.num_rows
             if not n:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(n, values) for i in (2, 3))
+            x, y = (values_of(batch.column(i).flatten().to_numpy().reshape(n, BANDS)) for i in (2, 3))
             alive, matches = np.arange(n), np.zeros(n, dtype=np.int64)
             for end, m in zip(sizes, need, strict=True):
                 matches[alive] += (x[alive, end - BLOCK : end] == y[alive, end - BLOCK : end]).sum(axis=1)
@@ -182,10 +201,9 @@ def version_pairs(df: DataFrame, key: str, title: str, text: str, bar: float = 0
             ok = c >= bar * longest - 1e-9
             yield pa.RecordBatch.from_arrays([rows.column(0).filter(pa.array(ok)), rows.column(1).filter(pa.array(ok)), pa.array(c[ok]), pa.array(c[ok] / np.maximum(longest[ok], 1))], names=["a", "b", "common", "share"])
 
-    # The same class may be chosen twice where its row came twice; equal rows carry the same print.
-    print_of = chosen.dropDuplicates(["cls"]).select("cls", "sig", "bag")
-    pairs = candidates.join(print_of.select(F.col("cls").alias("a"), F.col("sig").alias("sa"), F.col("bag").alias("ba")), "a")
-    pairs = pairs.join(print_of.select(F.col("cls").alias("b"), F.col("sig").alias("sb"), F.col("bag").alias("bb")), "b").select("a", "b", "sa", "sb", "ba", "bb")
+    print_of = make(True, True).select("cls", "bands", "bag").dropDuplicates(["cls"])
+    pairs = candidates.join(print_of.select(F.col("cls").alias("a"), F.col("bands").alias("sa"), F.col("bag").alias("ba")), "a")
+    pairs = pairs.join(print_of.select(F.col("cls").alias("b"), F.col("bands").alias("sb"), F.col("bag").alias("bb")), "b").select("a", "b", "sa", "sb", "ba", "bb")
     return pairs.mapInArrow(verify, "a long, b long, common long, share double"), members
 
 
