@@ -22,8 +22,9 @@ from tessera.session import cut_lineage, spread
 
 #: Vectors that the routing tree is fitted on, at most; the tree only routes, every vector is indexed.
 SAMPLE = 50_000
-#: Vectors a shard should hold, and a leaf of its tree.
-SHARD, LEAF = 4096, 256
+#: Vectors a shard may hold (some 50 MB in a task), shards that there are at least, and vectors of a leaf of a shard's tree. Few, large
+#: shards keep copies of vectors near an edge few; pruning within a shard costs no shuffle.
+SHARD, LEAST_SHARDS, LEAF = 1 << 16, 16, 256
 #: How far the triangle inequality is relaxed: a side is left out when its bound exceeds radius / FACTOR. 1 is exact search.
 FACTOR = 8.0
 
@@ -147,7 +148,7 @@ def similar_pairs(vectors: DataFrame, dim: int, min_cos: float, factor: float =
     """
     spark = vectors.sparkSession
     n = vectors.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n / shard)))))
+    depth = max(int(np.log2(LEAST_SHARDS)), int(np.ceil(np.log2(max(1, n / shard))))) if n > LEAF else 0
     taken = vectors.select("unit").orderBy(F.xxhash64("unit")).limit(min(sample, max(2000, 50 << depth))).toPandas() if depth else None
     tree = routing_tree(np.frombuffer(b"".join(taken["unit"]), dtype=np.float32).reshape(-1, dim), depth) if depth else 0
     radius = float(np.sqrt(max(0.0, 2.0 - 2.0 * min_cos)))
@@ -190,11 +191,11 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int, min_cos: flo
     Rows with the same key count once. Equal vectors are searched as one; of ties in similarity the smaller key comes first, so a
     group of equal vectors yields k rows per member, not all its pairs. No rows for an empty table.
     """
-    vectors = usable(df, key, vector, dim).groupBy("key").agg(F.min("unit").alias("unit"))
-    vectors = cut_lineage(vectors.withColumn("id", F.xxhash64("unit")))
-    groups = vectors.groupBy("id").agg(F.first("unit").alias("unit"))
+    units = usable(df, key, vector, dim).withColumn("id", F.xxhash64("unit"))
+    vectors = units.groupBy("key").agg(F.min("id").alias("id"))
+    groups = cut_lineage(units.groupBy("id").agg(F.first("unit").alias("unit")))
     pairs = similar_pairs(groups, dim, min_cos, factor)
-    both = pairs.select("a", "b", "cos").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
+    both = pairs.select("cos", F.inline(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).select("a", "b", "cos")
     # The members of a group that can be among the k nearest of anything are its k + 1 smallest keys.
     members = first_members(vectors, k + 1)
     # k groups hold at least k members; ties stay until their keys decide.
