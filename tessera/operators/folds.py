@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -29,18 +30,21 @@ def transcript_windows(segments: DataFrame, key: str, start: str, end: str, text
 def batches(items: DataFrame, group: str, order: str, size: str, most: int, budget: int) -> DataFrame:
     """(group, order, batch_no): items in order, greedily in batches of at most `most` items and `budget` size, one at least."""
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order, kind="stable")
-        out, batch, n, total = [], 1, 0, 0
-        for x in f[size]:
-            if n and (n >= most or total + x > budget):
-                batch, n, total = batch + 1, 0, 0
-            n, total = n + 1, total + x
-            out.append(batch)
-        return f.assign(batch_no=out)[[group, order, "batch_no"]]
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for g, xs in zip(f["g"], f["xs"], strict=True):
+                batch, n, total = 1, 0, 0
+                for x in xs:
+                    if n and (n >= most or total + x["s"] > budget):
+                        batch, n, total = batch + 1, 0, 0
+                    n, total = n + 1, total + x["s"]
+                    out.append((g, x["o"], batch))
+            yield pd.DataFrame(out, columns=[group, order, "batch_no"])
 
     types = dict(items.dtypes)
-    return items.select(group, order, size).groupBy(group).applyInPandas(fold, f"`{group}` {types[group]}, `{order}` {types[order]}, batch_no long")
+    rows = items.groupBy(F.col(group).alias("g")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).alias("s")))).alias("xs"))
+    return rows.mapInPandas(fold, f"`{group}` {types[group]}, `{order}` {types[order]}, batch_no long")
 
 
 def accepted_entries(entries: DataFrame, archive: str, order: str, size: str, max_entries: int, max_bytes: int) -> DataFrame:
@@ -70,24 +74,28 @@ def debounce(events: list[int], quiet: int, cap: int) -> list[tuple[int, int, in
     return out
 
 
-def debounced(events: DataFrame, source: str, ts_ms: str, quiet: int = 2000, cap: int = 5000) -> DataFrame:
+def debounced(events: DataFrame, source: str, ts_ms: str, quiet: int = 2000, cap: int = 5000, day_ms: int = 86_400_000) -> DataFrame:
     """(source, first_ms, fired_ms, events): the rescans that a source's events set off. Batch twin of the streaming operator.
 
-    Streams of events longer than a day are cut where the gap is at least `cap`, which no burst spans: such stretches are separate
-    groups, so that a source with a third of all events is no single task.
+    No burst spans a gap of `cap`. Gaps are found within (source, day), and between days from their first and last events; the stretches
+    between gaps are then folded by (source, day of their start). So a source with a third of all events is spread over its days.
     """
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy(source).orderBy("t")
-    cut = events.select(source, F.col(ts_ms).cast("long").alias("t")).withColumn("new", F.coalesce(F.col("t") - F.lag("t").over(w) >= cap, F.lit(True)).cast("long"))
-    cut = cut.withColumn("part", F.sum("new").over(W.partitionBy(source).orderBy("t", "new").rowsBetween(W.unboundedPreceding, 0)))
-
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        rows = debounce(sorted(f["t"]), quiet, cap)
-        return pd.DataFrame({source: f[source].iloc[0], "first_ms": [r[0] for r in rows], "fired_ms": [r[1] for r in rows], "events": [r[2] for r in rows]})
+    e = events.filter(F.col(ts_ms).isNotNull()).select(F.col(source).alias("s"), F.col(ts_ms).cast("long").alias("t")).withColumn("day", F.floor(F.col("t") / day_ms))
+    days = e.groupBy("s", "day").agg(F.max("t").alias("last")).withColumn("before", F.lag("last").over(W.partitionBy("s").orderBy("day"))).select("s", "day", "before")
+    inside = F.lag("t").over(W.partitionBy("s", "day").orderBy("t"))
+    e = e.join(days, ["s", "day"]).withColumn("opens", F.coalesce(F.col("t") - F.coalesce(inside, "before") >= cap, F.lit(True)))
+    own = F.max(F.when(F.col("opens"), F.col("t"))).over(W.partitionBy("s", "day").orderBy("t").rowsBetween(W.unboundedPreceding, 0))
+    opened = e.filter("opens").groupBy("s", "day").agg(F.max("t").alias("opened"))
+    carried = e.select("s", "day").distinct().join(opened, ["s", "day"], "left").withColumn("carried", F.last("opened", ignorenulls=True).over(W.partitionBy("s").orderBy("day").rowsBetween(W.unboundedPreceding, -1))).select("s", "day", "carried")
+    e = e.withColumn("own", own).join(carried, ["s", "day"]).select("s", "t", F.floor(F.coalesce("own", "carried") / day_ms).alias("start"))
+    grouped = e.groupBy("s", "start").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(s, *b) for s, ts in zip(f["s"], f["ts"], strict=True) for b in debounce([int(t) for t in ts], quiet, cap)]
+            yield pd.DataFrame(rows, columns=[source, "first_ms", "fired_ms", "events"])
 
-    kind = dict(events.dtypes)[source]
-    return cut.groupBy(source, "part").applyInPandas(fold, f"`{source}` {kind}, first_ms long, fired_ms long, events long")
+    return grouped.select("s", "ts").mapInPandas(fold, f"`{source}` {dict(events.dtypes)[source]}, first_ms long, fired_ms long, events long")
 
 
 def interleave(originals: DataFrame, translations: DataFrame, limit: int = 20) -> DataFrame:

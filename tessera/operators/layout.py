@@ -1,11 +1,12 @@
 """Pages from positioned text: lines, blocks, columns, reading order, headings and markdown.
 
-A page is a group of its own (applyInPandas); what needs the whole document is counted with DataFrame aggregates.
+A page is folded as one array in Arrow batches; what needs the whole document is counted with DataFrame aggregates.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -140,17 +141,22 @@ def in_margin(b: Piece, page_height: float, body: float) -> str | None:
 def page_blocks(fragments: DataFrame, width: float, height: float) -> DataFrame:
     """(doc, page, block, text, left, top, right, bottom, size, bold) from (doc, page, text, left, top, width, height, size, bold), in reading order."""
 
-    def layout(f: pd.DataFrame) -> pd.DataFrame:
-        pieces = [Piece(t, x, y, x + w, y + h, s, bool(b)) for t, x, y, w, h, s, b in zip(f["text"], f["left"], f["top"], f["width"], f["height"], f["size"], f["bold"], strict=True) if t and t.strip()]
-        cols = columns_of(pieces, width)
-        by = {}
-        for p in pieces:
-            by.setdefault(-1 if p.right - p.left >= SPANNING * width else max((i for i, c in enumerate(cols) if c <= p.left + 3), default=0), []).append(p)
-        lines = [x for part in by.values() for x in lines_of(part)]
-        rows = [(f["doc"].iloc[0], f["page"].iloc[0], i, b.text, b.left, b.top, b.right, b.bottom, b.size, b.bold) for i, b in enumerate(reading_order(blocks_of(lines), cols, width), 1)]
-        return pd.DataFrame(rows, columns=["doc", "page", "block", "text", "left", "top", "right", "bottom", "size", "bold"])
-
-    return fragments.groupBy("doc", "page").applyInPandas(layout, "doc string, page int, block int, text string, left double, top double, right double, bottom double, size double, bold boolean")
+    def layout(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for doc, page, fs in zip(f["doc"], f["page"], f["fs"], strict=True):
+                pieces = [Piece(x["text"], x["left"], x["top"], x["left"] + x["width"], x["top"] + x["height"], x["size"], bool(x["bold"])) for x in fs if x["text"] and x["text"].strip()]
+                cols = columns_of(pieces, width)
+                by: dict[int, list[Piece]] = {}
+                for p in pieces:
+                    by.setdefault(-1 if p.right - p.left >= SPANNING * width else max((i for i, c in enumerate(cols) if c <= p.left + 3), default=0), []).append(p)
+                lines = [x for part in by.values() for x in lines_of(part)]
+                rows += [(doc, page, i, b.text, b.left, b.top, b.right, b.bottom, b.size, b.bold) for i, b in enumerate(reading_order(blocks_of(lines), cols, width), 1)]
+            yield pd.DataFrame(rows, columns=["doc", "page", "block", "text", "left", "top", "right", "bottom", "size", "bold"])
+
+    one = F.struct(*[F.col(c) for c in ("top", "left", "text", "width", "height", "size", "bold")])
+    pages = fragments.groupBy("doc", "page").agg(F.array_sort(F.collect_list(one)).alias("fs"))  # a page is bounded
+    return pages.mapInPandas(layout, "doc string, page int, block int, text string, left double, top double, right double, bottom double, size double, bold boolean")
 
 
 def body_size(blocks: DataFrame, doc: str, size: str, text: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import dirname, strip, tokens, tokens_of
+from tessera.functions.text import dirname, fold, strip, tokens, tokens_of
 
 COLUMNS = ("title", "text", "file_name")
 SCOPES = {"everywhere": COLUMNS, "filename": ("file_name",), "content": ("title", "text")}
@@ -78,28 +78,28 @@ def phrases(query: str, scope: str = "everywhere", compat: bool = False, prefix:
     return [Phrase(w, prefix and i == len(words) - 1, COLUMNS if compat and i else SCOPES[scope]) for i, w in enumerate(words)]
 
 
+def plain(c: Column) -> Column:
+    """The tokens of a text in order, each with a blank before and after it; one blank for a text without any."""
+    return F.concat(F.lit(" "), F.ltrim(F.concat(F.trim(F.regexp_replace(fold(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))))
+
+
 def index(units: DataFrame, key: str = "id", columns: Sequence[str] = COLUMNS) -> DataFrame:
-    """(key, t_<column> ..., dl): the tokens of each column in order, and the number of all tokens. Redelivered rows count once."""
+    """(key, s_<column> ..., dl): the tokens of each column as plain(), and the number of all tokens. Redelivered rows count once."""
     rows = units.select(key, *columns).distinct()
-    lists = rows.select(key, *[tokens(F.col(c)).alias(f"t_{c}") for c in columns])
-    return lists.withColumn("dl", sum((F.size(f"t_{c}") for c in columns), F.lit(0)))
+    lists = rows.select(key, *[plain(F.col(c)).alias(f"s_{c}") for c in columns])
+    return lists.withColumn("dl", sum((F.length(f"s_{c}") - F.length(F.replace(f"s_{c}", F.lit(" "))) - 1 for c in columns), F.lit(0)))
 
 
 def postings(units: DataFrame, key: str = "id", columns: Sequence[str] = COLUMNS) -> DataFrame:
     """(key, col, pos, token): the positional inverted index, to be written partitioned by token."""
-    lists = index(units, key, columns)
-    each = F.inline(F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"t_{c}").alias("t")) for c in columns]))
-    return lists.select(key, each).select(key, "col", F.posexplode("t").alias("pos", "token"))
+    rows = units.select(key, *columns).distinct()
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("t")) for c in columns]))
+    return rows.select(key, each).select(key, "col", F.posexplode("t").alias("pos", "token"))
 
 
-def _occurrences(tok: Column, p: Phrase) -> Column:
-    n = len(p.tokens)
-    hit = lambda x, i: x.startswith(p.tokens[i]) if p.prefix and i == n - 1 else x == F.lit(p.tokens[i])
-    if n == 1:
-        return F.size(F.filter(tok, lambda x: hit(x, 0)))
-    last = F.size(tok) - n
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, lambda s: reduce(lambda a, b: a & b, [hit(F.get(tok, s + i), i) for i in range(n)])))
+def _occurrences(column: Column, p: Phrase) -> Column:
+    """Times that the phrase begins in a column; the look-ahead counts overlapping ones, and no lambda has to walk the tokens."""
+    return F.regexp_count(column, F.lit(f" (?={' '.join(p.tokens)}{'' if p.prefix else ' '})"))
 
 
 def match(indexed: DataFrame, wanted: Sequence[Phrase], key: str = "id") -> DataFrame:
@@ -110,7 +110,7 @@ def match(indexed: DataFrame, wanted: Sequence[Phrase], key: str = "id") -> Data
     """
     if not wanted:
         return indexed.select(key, F.lit(0.0).alias("score")).limit(0)
-    tf = [sum((_occurrences(F.col(f"t_{c}"), p) for c in p.columns if f"t_{c}" in indexed.columns), F.lit(0)) for p in wanted]
+    tf = [sum((_occurrences(F.col(f"s_{c}"), p) for c in p.columns if f"s_{c}" in indexed.columns), F.lit(0)) for p in wanted]
     rows = indexed.select(key, "dl", *[t.alias(f"tf{i}") for i, t in enumerate(tf)])
     stats = rows.agg(F.count("*").alias("_n"), F.avg("dl").alias("_avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"_n{i}") for i in range(len(tf))])
     hits = rows.filter(reduce(lambda a, b: a & b, [F.col(f"tf{i}") > 0 for i in range(len(tf))])).crossJoin(F.broadcast(stats))

@@ -49,9 +49,9 @@ fts("fts_and_prefix", "gantry ware", prefix=True)
 fts("fts_accents", "RÉSULTAT Données")
 fts("fts_repeated", "glacier glacier")
 fts("fts_scope_filename", "window", scope="filename")
-fts("fts_scope_strict", "overview isotope", scope="filename")
-fts("fts_scope_compat", "overview isotope", scope="filename", compat=True)
-fts("fts_scope_content", "Übersicht und", scope="content")
+fts("fts_scope_strict", "window pdf", scope="filename")
+fts("fts_scope_compat", "window glacier", scope="filename", compat=True)
+fts("fts_scope_content", "Sitzungen und", scope="content")
 fts("fts_punctuation_ignored", "glacier ---")
 
 _TR = "(SELECT DISTINCT unit_id || ' ' || tr_id AS id, title, text FROM unit_translations)"
@@ -205,7 +205,7 @@ def suggest_interleave(s: SparkSession, d: str) -> DataFrame:
 @query("completions")
 def completions(s: SparkSession, d: str) -> DataFrame:
     """What most often follows a typed text."""
-    return folds.completions(T(s, d, "content_units").select("id", "text").distinct(), "text", "the quay")
+    return folds.completions(T(s, d, "content_units").select("id", "text").distinct(), "text", "gant")
 
 
 _CONTEXT = match_sql(search.phrases("glacier telescope"))
