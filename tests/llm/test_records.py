@@ -160,12 +160,12 @@ def test_scans(spark):
     assert X.scan_defects(df.limit(0), "id", "asset", "ordinal", "text").collect() == []
 
 
-def test_page_numbers(spark):
+def test_page_numbers():
     lines = ["- 12 -", "p. 7", "[3]", "12/40", "Seite 4", "xiv", "xc", "см. 3", "see item 4.", "82.7", "Item 5", "", "12."]
-    df = spark.createDataFrame([(x,) for x in lines], "l string")
-    n, kind = X.lone_number(F.col("l"))
-    got = [(r[0], r[1]) for r in df.select(n, kind).collect()]
+    got = [X.lone_number(x) for x in lines]
     assert [g[0] for g in got] == [12, 7, 3, 12, 4, 14, 90, None, None, None, None, None, 12] and got[-1][1] == "ended"
+    assert [X.number_of(x) for x in ("iv", "ix", "xxxix", "xlviii", "iiii", "vx", "")] == [4, 9, 39, 48, None, None, None]
+    assert X.same_line("Survey and figure 12") == X.same_line("Siirvey  arid figurc 9") and X.same_line("a 1") != X.same_line("b 1")
 
 
 def test_misreadings():
