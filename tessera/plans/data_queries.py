@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import records as R
 from tessera.functions import text as X
 from tessera.operators import access, folds, layout, library, pipeline
 from tessera.plans.registry import query
@@ -250,3 +251,12 @@ SELECT asset_id, page_no, string_agg(CASE WHEN level IS NOT NULL THEN repeat('#'
     lambda s, d: layout.markdown(blocks(s, d), "asset_id", "page_no", "block_no", "font_size", "text", "bold")
 )
 query("column_detect")(lambda s, d: layout.page_blocks(T(s, d, "page_blocks").select(F.col("asset_id").alias("doc"), F.col("page_no").alias("page"), "text", F.col("x_left").alias("left"), F.col("y_top").alias("top"), (F.col("x_right") - F.col("x_left")).alias("width"), (F.col("y_bottom") - F.col("y_top")).alias("height"), F.col("font_size").alias("size"), F.coalesce("bold", F.lit(False)).alias("bold")).distinct().dropna(), 595.0, 842.0))
+
+# Records.
+query("payload_field", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")(lambda s, d: T(s, d, "events").select("event_id", R.json_field(F.col("props"), "k").alias("k")).filter("k IS NOT NULL"))
+query("backend_codes", "SELECT DISTINCT tr_id, upper(lang) AS deepl, CASE lang WHEN 'ja' THEN 'jp' WHEN 'ko' THEN 'kor' WHEN 'fr' THEN 'fra' WHEN 'es' THEN 'spa' ELSE lang END AS baidu FROM unit_translations")(
+    lambda s, d: T(s, d, "unit_translations").select("tr_id", R.backend_code(F.col("lang"), "deepl").alias("deepl"), R.backend_code(F.col("lang"), "baidu").alias("baidu")).distinct()
+)
+query("masked_hashes", "SELECT DISTINCT id, CASE WHEN coalesce(content_hash, '') <> '' THEN '__set__' ELSE '' END AS content_hash FROM assets")(lambda s, d: T(s, d, "assets").select("id", R.masked(F.col("content_hash")).alias("content_hash")).distinct())
+query("signatures", "SELECT DISTINCT id, md5(id || coalesce(mime, '') || 'key') AS signature FROM assets")(lambda s, d: T(s, d, "assets").select("id", R.signature(F.col("id"), F.coalesce("mime", F.lit("")), F.lit("key")).alias("signature")).distinct())
+query("hashed_vectors")(lambda s, d: T(s, d, "content_units").select("id", "title", "text").distinct().select("id", R.hashed_vector_udf(X.embedding_input(F.col("title"), F.col("text"))).alias("vector")))

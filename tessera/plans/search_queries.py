@@ -49,8 +49,8 @@ fts("fts_and_prefix", "gantry ware", prefix=True)
 fts("fts_accents", "RÉSULTAT Données")
 fts("fts_repeated", "glacier glacier")
 fts("fts_scope_filename", "window", scope="filename")
-fts("fts_scope_strict", "window pdf", scope="filename")
-fts("fts_scope_compat", "window glacier", scope="filename", compat=True)
+fts("fts_scope_strict", "pdf m", scope="filename", prefix=True)
+fts("fts_scope_compat", "pdf gantry", scope="filename", compat=True)
 fts("fts_scope_content", "Sitzungen und", scope="content")
 fts("fts_punctuation_ignored", "glacier ---")
 
