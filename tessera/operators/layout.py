@@ -83,6 +83,41 @@ def columns_of(fragments: list[Piece], width: float) -> list[float]:
     return starts or [0.0]
 
 
+def table_starts(fragments: list[Piece]) -> list[float]:
+    """Left edges of the columns of a table within a text column; empty where there is none.
+
+    Edges that recur (within 3 points) in at least two rows are starts, those closer than 1.6 of the usual size are one. It is a table when
+    35 % of the rows have text in two columns or more, two columns have three rows or more, and an empty corridor parts neighbours.
+    """
+    rows: list[list[Piece]] = []
+    for f in sorted(fragments, key=lambda x: ((x.top + x.bottom) / 2, x.left)):
+        if rows and abs((f.top + f.bottom) / 2 - np.mean([(x.top + x.bottom) / 2 for x in rows[-1]])) <= max(3.0, 0.4 * f.height):
+            rows[-1].append(f)
+        else:
+            rows.append([f])
+    if len(rows) < 3:
+        return []
+    sizes = [round(f.size * 10) for f in fragments]
+    usual = max(sorted(set(sizes)), key=sizes.count) / 10
+    clusters: list[tuple[float, set[int]]] = []
+    for left, i in sorted((f.left, i) for i, row in enumerate(rows) for f in row):
+        if clusters and left - clusters[-1][0] <= 3:
+            clusters[-1][1].add(i)
+        else:
+            clusters.append((left, {i}))
+    starts: list[float] = []
+    for left, seen in clusters:
+        if len(seen) >= 2 and (not starts or left - starts[-1] >= 1.6 * usual):
+            starts.append(left)
+    if len(starts) < 2:
+        return []
+    at = lambda f: max((k for k, c in enumerate(starts) if c <= f.left + 3), default=0)
+    used = [{at(f) for f in row} for row in rows]
+    deep = [sum(k in u for u in used) >= 3 for k in range(len(starts))]
+    clear = all(max((f.right for f in fragments if at(f) == k), default=0) + 1 <= starts[k + 1] for k in range(len(starts) - 1))
+    return starts if sum(len(u) >= 2 for u in used) >= 0.35 * len(rows) and sum(deep) >= 2 and clear else []
+
+
 def blocks_of(lines: list[Piece]) -> list[Piece]:
     """Lines one under the other, at least half overlapping and less than 1.5 line heights apart."""
     blocks: list[list[Piece]] = []
@@ -150,7 +185,13 @@ def page_blocks(fragments: DataFrame, width: float, height: float) -> DataFrame:
                 by: dict[int, list[Piece]] = {}
                 for p in pieces:
                     by.setdefault(-1 if p.right - p.left >= SPANNING * width else max((i for i, c in enumerate(cols) if c <= p.left + 3), default=0), []).append(p)
-                lines = [x for part in by.values() for x in lines_of(part)]
+                lines = []
+                for k, part in by.items():
+                    starts = table_starts(part) if k >= 0 else []
+                    cells: dict[int, list[Piece]] = {}
+                    for p in part:
+                        cells.setdefault(max((i for i, c in enumerate(starts) if c <= p.left + 3), default=0), []).append(p)
+                    lines += [x for cell in cells.values() for x in lines_of(cell)]
                 rows += [(doc, page, i, b.text, b.left, b.top, b.right, b.bottom, b.size, b.bold) for i, b in enumerate(reading_order(blocks_of(lines), cols, width), 1)]
             yield pd.DataFrame(rows, columns=["doc", "page", "block", "text", "left", "top", "right", "bottom", "size", "bold"])
 

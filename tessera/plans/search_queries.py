@@ -231,3 +231,31 @@ def mtime_filter(s: SparkSession, d: str) -> DataFrame:
 @query("dir_paths", "SELECT DISTINCT id, regexp_extract(path, '^(.+)/[^/]*$', 1) AS dir_path FROM assets")
 def dir_paths(s: SparkSession, d: str) -> DataFrame:
     return T(s, d, "assets").select("id", dirname(F.col("path")).alias("dir_path")).distinct()
+
+
+_DEEP = "(SELECT min(id) AS id FROM content_units WHERE unit_type = 'slide' AND ordinal = 2)"
+
+
+@query("deep_read_context", f"SELECT string_agg(left(coalesce(text, ''), 3000), chr(10) || chr(10) ORDER BY place) AS context FROM (SELECT u.text, CASE WHEN u.id = w.id THEN 0 ELSE u.ordinal END AS place FROM (SELECT DISTINCT id, asset_id, ordinal, text FROM content_units) u JOIN (SELECT DISTINCT id, asset_id, ordinal FROM content_units WHERE id = (SELECT id FROM {_DEEP})) w ON w.asset_id = u.asset_id WHERE u.ordinal BETWEEN greatest(1, w.ordinal - 1) AND w.ordinal + 1)")
+def deep_read_context(s: SparkSession, d: str) -> DataFrame:
+    """The unit asked about first, then its neighbours in order."""
+    from tessera.operators.library import neighbours
+
+    units = T(s, d, "content_units")
+    one = units.filter("unit_type = 'slide' AND ordinal = 2").agg(F.min("id").alias("id")).filter("id IS NOT NULL")
+    near = neighbours(units, one).join(units.select(F.col("id").alias("unit_id"), "text").distinct(), "unit_id")
+    rows = near.select(F.struct(F.when(F.col("offset") == 0, 0).otherwise(F.col("ordinal")).alias("o"), F.left(F.coalesce("text", F.lit("")), F.lit(3000)).alias("t")).alias("x"))
+    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n\n").alias("context"))
+
+
+@query("hit_kinds", f"SELECT a.kind, count(*) AS n FROM ({match_sql(search.phrases('glacier'))}) h JOIN (SELECT DISTINCT id, asset_id FROM content_units) u ON u.id = h.id JOIN (SELECT DISTINCT id, kind FROM assets) a ON a.id = u.asset_id GROUP BY a.kind")
+def hit_kinds(s: SparkSession, d: str) -> DataFrame:
+    units = T(s, d, "content_units")
+    hits = search.match(search.index(units), search.phrases("glacier")).join(units.select("id", "asset_id").distinct(), "id")
+    return hits.join(T(s, d, "assets").select(F.col("id").alias("asset_id"), "kind").distinct(), "asset_id").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("snippet_parts")
+def snippet_parts(s: SparkSession, d: str) -> DataFrame:
+    """The pieces of the snippets of fts_snippet."""
+    return fts_snippet(s, d).select("id", F.posexplode(search.snippet_parts(F.col("snippet"))).alias("part", "text"))

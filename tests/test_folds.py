@@ -3,7 +3,7 @@ import random
 import pandas as pd
 
 from tessera.operators import folds
-from tessera.operators.layout import Piece, blocks_of, columns_of, lines_of, page_blocks
+from tessera.operators.layout import Piece, blocks_of, columns_of, in_margin, lines_of, page_blocks, table_starts
 
 
 def test_windows(spark):
@@ -60,3 +60,11 @@ def test_page_blocks(spark):
     rows = [("d", 1, t, x, y, w, 10.0, 10.0, False) for t, x, y, w in (("Title over all", 20.0, 10.0, 560.0), ("left one", 20.0, 100.0, 200.0), ("left two", 20.0, 112.0, 200.0), ("right one", 400.0, 90.0, 180.0))]
     df = spark.createDataFrame(pd.DataFrame(rows, columns=["doc", "page", "text", "left", "top", "width", "height", "size", "bold"]))
     assert [r["text"] for r in page_blocks(df, 600.0, 800.0).orderBy("block").collect()] == ["Title over all", "left one left two", "right one"]
+
+
+def test_tables_and_margins():
+    cells = [p(f"c{i}{k}", 10 + 60 * k, 20 * i, 40) for i in range(4) for k in range(2)]
+    assert table_starts(cells) == [10, 70]
+    assert table_starts([p(f"l{i}", 10, 20 * i, 200) for i in range(5)]) == [] and table_starts([]) == []
+    assert in_margin(p("Head", 0, 5), 800, 10) == "header" and in_margin(p("3 / 10", 0, 780), 800, 10) == "footer"
+    assert in_margin(p("x" * 200, 0, 780), 800, 10) is None and in_margin(p("body", 0, 400), 800, 10) is None
