@@ -22,6 +22,8 @@ from tessera.session import spread
 BANDS, ROWS = 40, 3
 #: MinHash values compared at a time, and the posterior probability below which a pair is dropped.
 BLOCK, TOLERANCE = 24, 0.005
+#: Members up to which a class of equal texts is expanded into all pairs.
+WHOLE = 64
 WORDS = re.compile(r"[㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
 
 _RNG = np.random.default_rng(20240229)
@@ -208,14 +210,16 @@ def version_pairs(df: DataFrame, key: str, title: str, text: str, bar: float = 0
 
 
 def version_links(df: DataFrame, key: str, title: str, text: str, bar: float = 0.45, least: int = 60, most: int = 1500, width: int = 5) -> DataFrame:
-    """(key_a, key_b), a < b: all pairs of members of linked classes, and within a class of equal texts every pair up to 64 members;
-    beyond, each member with the class's least key, which loses no link between different texts."""
+    """(key_a, key_b), a < b: all pairs of members of linked classes, and within a class of equal texts every pair up to WHOLE members;
+    beyond, each member with the class's least key, through which its links to other texts go: none between different texts is lost."""
     pairs, members = version_pairs(df, key, title, text, bar, least, most, width)
-    m = members.select(F.col("cls"), F.col("key"))
-    across = pairs.select("a", "b").join(m.withColumnsRenamed({"cls": "a", "key": "x"}), "a").join(m.withColumnsRenamed({"cls": "b", "key": "y"}), "b").select("x", "y")
-    sizes = m.groupBy("cls").agg(F.count("*").alias("n"), F.min("key").alias("first")).filter("n > 1")
-    small = m.join(sizes.filter("n <= 64").select("cls"), "cls")
-    inside = small.select("cls", F.col("key").alias("x")).join(small.select("cls", F.col("key").alias("y")), "cls").filter("x < y").select("x", "y")
-    star = m.join(sizes.filter("n > 64").select("cls", "first"), "cls").filter("first < key").select(F.col("first").alias("x"), F.col("key").alias("y"))
+    sizes = members.groupBy("cls").agg(F.count("*").alias("n"), F.min("key").alias("first"))
+    m = members.join(sizes, "cls")
+    # Of a large class of equal texts only the least key is paired with other texts; its members are linked to that key.
+    faces = m.filter((F.col("n") <= WHOLE) | (F.col("key") == F.col("first"))).select("cls", "key")
+    across = pairs.select("a", "b").join(faces.withColumnsRenamed({"cls": "a", "key": "x"}), "a").join(faces.withColumnsRenamed({"cls": "b", "key": "y"}), "b").select("x", "y")
+    several = m.filter((F.col("n") > 1) & (F.col("n") <= WHOLE)).select("cls", "key")
+    inside = several.withColumnRenamed("key", "x").join(several.withColumnRenamed("key", "y"), "cls").filter("x < y").select("x", "y")
+    star = m.filter((F.col("n") > WHOLE) & (F.col("first") < F.col("key"))).select(F.col("first").alias("x"), F.col("key").alias("y"))
     both = across.unionByName(inside).unionByName(star)
     return both.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
