@@ -170,6 +170,8 @@ def test_page_numbers():
 
 def test_misreadings():
     assert X.explained("rnoved", "moved") == 1 and X.explained("c@che", "cache") == 1 and X.explained("toumament", "tournament") == 1
+    assert X.explained("гот0вы", "готовы") == 1 and X.explained("даннь1м", "данным") == 1 and X.explained("провсркн", "проверки") == 2
+    assert X.same_line("Черновики и образцы 4") == X.same_line("7 Чсрн0внки и обра3цы")
     assert X.explained("moved", "moved") == 0 and X.explained("table", "cable") == 99
 
 
