@@ -88,7 +88,9 @@ def coarsest_cut(text: str, limit: int) -> str | None:
     if len(text) <= limit:
         return None
     for level in LEVELS[:-1]:
-        if best_cuts(text, dict.fromkeys(boundaries(text, level), level), limit) is not None:
+        # Ends of sentences count along with blank lines; white space has both.
+        points = dict.fromkeys(boundaries(text, level), level) if level == "word" else cut_points(text, level)
+        if best_cuts(text, points, limit) is not None:
             return level
     return "hard"
 
