@@ -140,7 +140,7 @@ def subject_shares(spark: SparkSession, d: str) -> DataFrame:
 
     documents = table(spark, d, "documents")
     names = sorted(r["subject"] for r in table(spark, d, "subjects").select("subject").collect())  # the fixed list of subjects
-    model = train(labelled(documents, table(spark, d, "subject_labels"), "doc_id", "text", "subject", "none"), "doc_id", "text", names)
+    model = train(labelled(documents, table(spark, d, "subject_labels"), "doc_id", "text", "subject", "none"), documents, "doc_id", "text", names)
     return subjects_of(documents, "doc_id", "text", model, names)
 
 

@@ -24,11 +24,13 @@ from tessera.llm.language import sentences
 from tessera.session import cut_lineage, spread
 
 BUCKETS, WIDTH = 1 << 16, 12
-#: Labelled documents to fit on, at most, and how many of them a word must occur in; partitions that share the work of a round, rounds,
+#: Documents to fit on, at most, and how many of them a word must occur in; partitions that share the work of a round, rounds,
 #: from which of them on sentences have targets of their own, and gradient steps of a round.
 SAMPLE, LEAST_DOCUMENTS, SHARDS, ROUNDS, REFINE, STEPS = 4000, 3, 8, 10, 5, 8
 #: Share of a document's sentences that makes it about a subject, and the probability from which a sentence is.
-SHARE, SURE = 0.25, 0.5
+SHARE, SURE = 0.25, 0.4
+#: Probability from which a training sentence shows a subject.
+SHOWN = 0.5
 _URL = re.compile(r"\S+://\S+|\S+@\S+")
 _RUN = re.compile(r"[㐀-鿿]+|[ァ-ヺー]+|[^\W\d_぀-ヿ㐀-鿿]+")
 
@@ -95,7 +97,7 @@ class Shard:
         """What each sentence should say, and what counts, once the model knows something: of a document's subjects those the sentence
         shows, but always those of the quarter of its sentences that show them most; a subject shown against the labels does not count."""
         _, p = self.forward(m.embedding[self.used], m.output, m.bias)
-        y = self.y * (p >= SURE)
+        y = self.y * (p >= SHOWN)
         n = np.bincount(self.doc, minlength=int(self.doc.max()) + 1)
         first = np.cumsum(n) - n
         for k in range(p.shape[1]):
@@ -103,7 +105,7 @@ class Shard:
             rank = np.arange(len(order)) - first[self.doc[order]]
             top = order[rank < np.ceil(SHARE * n[self.doc[order]])]
             y[top, k] = self.y[top, k]
-        return y, 1.0 - (1 - self.y) * (p >= SURE)
+        return y, 1.0 - (1 - self.y) * (p >= SHOWN)
 
     def steps(self, m: Model, steps: int, rate: float, refine: bool, decay: float = 1e-3) -> Model:
         """Adam on all sentences of the shard, steps times; returns the changed model."""
@@ -141,16 +143,28 @@ def labelled(documents: DataFrame, labels: DataFrame, key: str, text: str, label
     return documents.select(key, text).join(named, key).filter(F.col(text).isNotNull())
 
 
-def train(examples: DataFrame, key: str, text: str, subjects: list[str], sample: int = SAMPLE, rounds: int = ROUNDS, steps: int = STEPS, rate: float = 0.1) -> Model:
-    """The model fitted on at most `sample` labelled documents, those of least hash of their key."""
+def train(examples: DataFrame, documents: DataFrame, key: str, text: str, subjects: list[str], sample: int = SAMPLE) -> Model:
+    """The model fitted on at most `sample` documents, those of least hash of their key: labelled ones first; where they are fewer, it
+    labels others itself and is fitted anew on both."""
+    some = cut_lineage(examples.select(key, text, "labels").orderBy(F.xxhash64(key), key).limit(sample))
+    model, n = fit(some, key, text, subjects), some.count()
+    if n == sample:
+        return model
+    rest = documents.select(key, text).filter(F.col(text).isNotNull()).join(examples.select(key), key, "left_anti").orderBy(F.xxhash64(key), key).limit(sample - n)
+    said = subjects_of(rest, key, text, model, subjects).groupBy(key).agg(F.sort_array(F.collect_list("subject")).alias("labels"))
+    more = rest.join(said, key, "left").select(key, text, F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
+    return fit(some.unionByName(more), key, text, subjects)
+
+
+def fit(examples: DataFrame, key: str, text: str, subjects: list[str], rounds: int = ROUNDS, steps: int = STEPS, rate: float = 0.1) -> Model:
+    """The model fitted on all examples (key, text, labels), which the caller bounds."""
     spark, at = examples.sparkSession, {s: i for i, s in enumerate(subjects)}
 
     def words(f: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in f:
             yield pd.DataFrame({"word": [w for t in g[text] for w in {w for s in counted_sentences(t) for w in s}]}, dtype=object)
 
-    some = examples.select(key, text, "labels").orderBy(F.xxhash64(key), key).limit(sample)
-    some = cut_lineage(some.withColumn("shard", F.pmod(F.xxhash64(key, F.lit("shard")), F.lit(SHARDS)).cast("int")).repartition(SHARDS, "shard"))
+    some = cut_lineage(examples.withColumn("shard", F.pmod(F.xxhash64(key, F.lit("shard")), F.lit(SHARDS)).cast("int")).repartition(SHARDS, "shard"))
     common = some.mapInPandas(words, "word string").groupBy("word").count().filter(F.col("count") >= LEAST_DOCUMENTS).select("word").collect()  # bounded by the sample
     vocabulary = spark.sparkContext.broadcast({r["word"] for r in common})
 

@@ -192,7 +192,7 @@ def test_subjects(spark):
     rows = [(i, doc(kinds[i % 4])) for i in range(240)]
     docs = spark.createDataFrame([*rows, (900, None), (901, ""), (902, " \n")], "doc_id long, text string").withColumn("subject", F.lit("clash")).drop("subject")
     labels = spark.createDataFrame([(i, s, "a1") for i in range(160) for s in (kinds[i % 4] or ["none"])] + [(0, "law", "a2"), (5000, "law", "a1")], "doc_id long, subject string, annotator string")
-    model = J.train(J.labelled(docs, labels, "doc_id", "text", "subject", "none"), "doc_id", "text", ["law", "sport"])
+    model = J.train(J.labelled(docs, labels, "doc_id", "text", "subject", "none"), docs, "doc_id", "text", ["law", "sport"])
     got = collections.defaultdict(set)
     for r in J.subjects_of(docs, "doc_id", "text", model, ["law", "sport"]).collect():
         got[r["doc_id"]].add(r["subject"])
