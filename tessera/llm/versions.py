@@ -24,7 +24,7 @@ BANDS, ROWS = 40, 3
 BLOCK, TOLERANCE = 24, 0.005
 #: Members up to which a class of equal texts is expanded into all pairs.
 WHOLE = 64
-WORDS = re.compile(r"[㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
+WORDS = re.compile("[㐀-鿿]|[ぁ-ゖゝ-ゟァ-ヺー-ヿ]+|[^\\W_\u3040-\u30ff㐀-鿿]+")
 
 _RNG = np.random.default_rng(20240229)
 _MULT = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -32,7 +32,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str) -> list[str]:
-    """Maximal runs of letters and digits in lower case; kana part words, a Han character is a word of its own."""
+    """Maximal runs of letters and digits in lower case; runs of kana are parted from other letters, a Han character is a word of its own."""
     return WORDS.findall(text.lower())
 
 

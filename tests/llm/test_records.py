@@ -57,7 +57,7 @@ def test_versions(spark):
 
 
 def test_version_words():
-    assert V.words("Ab1 漢字かなX_y") == ["ab1", "漢", "字", "x", "y"]
+    assert V.words("Ab1 漢字かなX_yカタカナ・ー") == ["ab1", "漢", "字", "かな", "x", "y", "カタカナ", "ー"]
 
 
 def test_equal_texts(spark):
