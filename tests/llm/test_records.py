@@ -160,6 +160,16 @@ def test_scans(spark):
     assert X.scan_defects(df.limit(0), "id", "asset", "ordinal", "text").collect() == []
 
 
+def test_scans_copies(spark):
+    rows = scan_rows()
+    copies = [(f"c{i:03}", f"b{i}", 1, next(r[3] for r in rows if r[0] == "u0-1")) for i in range(400)]
+    df = spark.createDataFrame([*rows, *copies], "id string, asset string, ordinal int, text string")
+    got = {r["key"] for r in X.scan_defects(df, "id", "asset", "ordinal", "text").filter("defect = 'misread'").collect()}
+    assert got == {"u0-1", *(r[0] for r in copies)}
+    fixed = {r["key"]: r["repaired"] for r in X.repair(df, "id", "asset", "ordinal", "text").collect()}
+    assert "rnember" not in fixed["c000"] and "The member covers" in fixed["c000"]
+
+
 def test_page_numbers():
     lines = ["- 12 -", "p. 7", "[3]", "12/40", "Seite 4", "xiv", "xc", "см. 3", "see item 4.", "82.7", "Item 5", "", "12."]
     got = [X.lone_number(x) for x in lines]
