@@ -1,8 +1,8 @@
 """Problem 2: the most similar vectors of every vector, by vantage-point trees per shard.
 
-A routing tree of vantage points, fitted on a bounded sample, parts the unit sphere into shards. Each vector is indexed in one shard and
-asked in every shard that the relaxed triangle inequality does not rule out for it; within a shard a vantage-point tree prunes alike.
-Similarity is symmetric, so a pair that either side finds counts for both.
+A routing tree of vantage points, fitted on a bounded sample, parts the unit sphere into shards. Each vector goes to its own shard
+and to every shard that the relaxed triangle inequality does not rule out for it, and all vectors of a shard are compared, through a
+vantage-point tree that prunes alike. Similarity is symmetric: where an edge parts a pair, one of the two lies within half the radius of it.
 """
 
 from __future__ import annotations
@@ -63,27 +63,25 @@ def routing_tree(sample: np.ndarray, depth: int, seed: int = 7) -> Node | int:
     return build(sample, depth)
 
 
-def route(tree: Node | int, x: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shard, home): the shards of each vector that the relaxed bound leaves; home marks the one that indexes it."""
-    rows, shards, homes = [], [], []
+def route(tree: Node | int, x: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shard): the shards of each vector that the relaxed bound leaves."""
+    rows, shards = [], []
 
-    def go(node: Node | int, r: np.ndarray, home: np.ndarray) -> None:
+    def go(node: Node | int, r: np.ndarray) -> None:
         if not len(r):
             return
         if not isinstance(node, Node):
             rows.append(r)
             shards.append(np.full(len(r), node, dtype=np.int32))
-            homes.append(home)
             return
         off = chord(x[r], node.vantage) - node.edge
-        inner, outer = off <= slack, off > -slack
-        go(node.inner, r[inner], home[inner] & (off[inner] <= 0))
-        go(node.outer, r[outer], home[outer] & (off[outer] > 0))
+        go(node.inner, r[off <= slack])
+        go(node.outer, r[off > -slack])
 
-    go(tree, np.arange(len(x)), np.ones(len(x), dtype=bool))
+    go(tree, np.arange(len(x)))
     if not rows:
-        return np.array([], dtype=np.int64), np.array([], dtype=np.int32), np.array([], dtype=bool)
-    return np.concatenate(rows), np.concatenate(shards), np.concatenate(homes)
+        return np.array([], dtype=np.int64), np.array([], dtype=np.int32)
+    return np.concatenate(rows), np.concatenate(shards)
 
 
 def search(index: np.ndarray, asked: np.ndarray, min_cos: float, factor: float, seed: int = 7) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -152,32 +150,28 @@ def similar_pairs(vectors: DataFrame, dim: int, min_cos: float, factor: float =
     taken = vectors.select("unit").orderBy(F.xxhash64("unit")).limit(min(sample, max(2000, 50 << depth))).toPandas() if depth else None
     tree = routing_tree(np.frombuffer(b"".join(taken["unit"]), dtype=np.float32).reshape(-1, dim), depth) if depth else 0
     radius = float(np.sqrt(max(0.0, 2.0 - 2.0 * min_cos)))
-    # Either side of a pair may find the other, so each has to reach only half as far over an edge.
-    slack = radius / factor / 2 if factor > 1 else radius / 2
+    # Of a pair that an edge parts, one side lies within half the radius of it; so the two share a shard at any depth, as visitors or not.
+    slack = radius / factor / 2
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.float32).reshape(-1, dim)
-            rows, shards, homes = route(tree, x, slack)
-            yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(homes), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], names=["shard", "home", "id", "unit"])
+            rows, shards = route(tree, x, slack)
+            yield pa.RecordBatch.from_arrays([pa.array(shards), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], names=["shard", "id", "unit"])
 
     def found(f: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(f["unit"]), dtype=np.float32).reshape(-1, dim)
-        ids, home = f["id"].to_numpy(), f["home"].to_numpy()
-        own = np.flatnonzero(home)
-        a, b, c = [], [], []
-        for i, j, s in search(x[own], x, min_cos, factor):
-            j = own[j]
-            keep = (ids[i] < ids[j]) | ((ids[i] > ids[j]) & ~home[i])  # a pair at home in one shard comes from one side only
-            a.append(ids[i][keep])
-            b.append(ids[j][keep])
-            c.append(s[keep])
-        if not a:
-            return pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64), "cos": np.array([], np.float32)})
-        a, b, c = np.concatenate(a), np.concatenate(b), np.concatenate(c)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cos": c})
-
-    rows = vectors.select("id", "unit").mapInArrow(routed, "shard int, home boolean, id long, unit binary")
+        ids = f["id"].to_numpy()
+        pairs, cos = [np.array([], np.int64)], [np.array([], np.float32)]
+        for i, j, c in search(x, x, min_cos, factor):
+            apart = i != j
+            pairs.append((np.minimum(i, j) * len(x) + np.maximum(i, j))[apart])
+            cos.append(c[apart])
+        pairs, first = np.unique(np.concatenate(pairs), return_index=True)  # most pairs come from both sides
+        a, b = ids[pairs // len(x)], ids[pairs % len(x)]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cos": np.concatenate(cos)[first]})
+
+    rows = vectors.select("id", "unit").mapInArrow(routed, "shard int, id long, unit binary")
     shards = 1 << depth
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     rows = rows.repartition(min(shards, parts), "shard") if shards > 1 else rows

@@ -132,6 +132,16 @@ def test_boosting():
     assert ((m.predict(x[400:]) > 0.5) == y[400:]).mean() > 0.9
 
 
+def test_neighbours_few_dimensions(spark):
+    x = np.random.default_rng(11).normal(size=(2000, 3))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.88 + 1e-5, 1))
+    df = spark.createDataFrame([(n, bytearray(v.tobytes())) for n, v in enumerate(x)], "id long, unit binary")
+    got = N.similar_pairs(df, 3, 0.88, 1.0).toPandas()
+    assert not got.duplicated(["a", "b"]).any() and (got["a"] < got["b"]).all()
+    assert {*zip(i.tolist(), j.tolist())} <= {*zip(got["a"], got["b"])} and got["cos"].min() >= 0.88
+
+
 PAGE = "Survey and figure\nThe rnember covers the survey and the limit of the mem-\nber as agreed. The member shows the c@che.\n\nThe cache follows the member{}.\n- {} -"
 
 
