@@ -26,7 +26,7 @@ SAMPLE = 50_000
 #: shards keep copies of vectors near an edge few; pruning within a shard costs no shuffle.
 SHARD, LEAST_SHARDS, LEAF = 1 << 16, 16, 256
 #: How far the triangle inequality is relaxed: a side is left out when its bound exceeds radius / FACTOR. 1 is exact search.
-FACTOR = 10.0
+FACTOR = 8.0
 
 
 @dataclass

@@ -142,6 +142,17 @@ def test_neighbours_few_dimensions(spark):
     assert {*zip(i.tolist(), j.tolist())} <= {*zip(got["a"], got["b"])} and got["cos"].min() >= 0.88
 
 
+def test_neighbours_recall_of_deep_trees(spark):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(400, 64)), 8, axis=0) + rng.normal(size=(3200, 64)) * 0.3
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.88, 1))
+    want = {*zip(i.tolist(), j.tolist())}
+    df = spark.createDataFrame([(n, bytearray(v.tobytes())) for n, v in enumerate(x)], "id long, unit binary")
+    got = {(r["a"], r["b"]) for r in N.similar_pairs(df, 64, 0.88, shard=50).collect()}
+    assert len(got & want) >= 0.955 * len(want)
+
+
 PAGE = "Survey and figure\nThe rnember covers the survey and the limit of the mem-\nber as agreed. The member shows the c@che.\n\nThe cache follows the member{}.\n- {} -"
 
 
