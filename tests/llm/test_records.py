@@ -206,6 +206,17 @@ def test_misreadings():
     assert X.explained("moved", "moved") == 0 and X.explained("table", "cable") == 99
 
 
+def test_several_misreadings(spark):
+    right = ["delays", "summer", "command", "morning"]
+    grams = {f"^{w}$"[i : i + 3] for w in right for i in range(len(w))}
+    for read, printed in (("de1ay$", "delays"), ("de1@y5", "delays"), ("surnrncr", "summer"), ("cornrnarid", "command"), ("rnorriirig", "morning")):
+        assert X.explained(read, printed) in (2, 3) and X.printed_forms(read, grams) == {printed}
+    assert X.printed_forms("delays", grams) == X.printed_forms("d", grams) == set()
+    fill = [f"de{a}{b}{c}" for a in "npst" for b in "aeiou" for c in ("ck", "ng", "rd")]
+    words = spark.createDataFrame([("delays", 500, 500), *((w, 40, 40) for w in fill), ("de1ay$", 1, 1)], "word string, n long, own long")
+    assert {r["word"]: r["right"] for r in X.corrections(words).collect()}.get("de1ay$") == "delays"
+
+
 def test_subjects(spark):
     rng = random.Random(9)
     nouns = {"sport": ["goal", "match", "coach", "medal"], "law": ["court", "judge", "verdict", "appeal"]}
