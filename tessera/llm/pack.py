@@ -62,8 +62,9 @@ def reduce_dominated(count: np.ndarray, capacity: int) -> list[tuple[tuple[int,
     """Fix containers that some optimal solution has, taking their items out of count; (sizes, number of such containers) each.
 
     For an item j, largest first: alone, when nothing fits beside it; with the largest item i that fits, when the two fill the container
-    exactly, when no second one would fit beside j, or when no two others that fit beside j (three never do) hold more than i.
-    Each such choice dominates every other container with j: its other items can be swapped for i without loss.
+    exactly, when no second one would fit beside j, or when no two others that fit beside j (three never do) hold more than i; with i and
+    the largest item that fits beside both, when three never fit beside j and no two that are larger than the latter do.
+    Each such choice dominates every other container with j: its other items can be swapped for those of the choice without loss.
     """
     fixed: list[tuple[tuple[int, ...], int]] = []
     changed = True
@@ -90,6 +91,14 @@ def reduce_dominated(count: np.ndarray, capacity: int) -> list[tuple[tuple[int,
                     third = least if count[least] - (least == j) > 2 else second
                     if least + second + third > room:  # at most two fit beside j (a bound from below on any three)
                         ok = i >= _best_pair(count, fits, room, int(j))
+                        if not ok and (b := _beside(count, fits, room, int(j), i)):
+                            three = (int(j), i, b)
+                            n = min(int(count[s]) // three.count(s) for s in three)  # stays dominant while there are such items
+                            fixed.append((three, n))
+                            for s in three:
+                                count[s] -= n
+                            changed = True
+                            continue
                 if not ok:
                     break
                 n = int(count[j] // 2) if i == j else int(min(count[j], count[i]))
@@ -115,6 +124,17 @@ def _best_pair(count: np.ndarray, fits: np.ndarray, room: int, j: int) -> int:
     return best
 
 
+def _beside(count: np.ndarray, fits: np.ndarray, room: int, j: int, i: int) -> int | None:
+    """The largest item that fits beside j and i, when no two others that are larger than it fit beside j."""
+    free = lambda s: int(count[s]) - (s == j) - (s == i)
+    b = next((int(s) for s in fits[fits <= room - i][::-1] if free(int(s)) > 0), None)
+    if b is None:
+        return None
+    larger = [int(s) for s in fits[fits > b] if free(int(s)) > 0][:2]
+    two = 2 * larger[0] if larger and free(larger[0]) > 1 else sum(larger) if len(larger) == 2 else None
+    return b if two is None or two > room else None
+
+
 def best_fit(count: np.ndarray, capacity: int, taken: np.ndarray, container: int) -> tuple[list[Run], int]:
     """Best fit, largest first, of all items in count: each goes where the least room is left. Equal containers are handled as one."""
     runs: list[Run] = []
@@ -161,9 +181,8 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[Run], int]:
         count[s] = n
     runs, container = [], 0
     for sizes, n in reduce_dominated(count, capacity):
-        same = len(sizes) == 2 and sizes[0] == sizes[1]
         for s in dict.fromkeys(sizes):
-            per = 2 if same else 1
+            per = sizes.count(s)
             runs.append(Run(s, int(taken[s]), n * per, per, container))
             taken[s] += n * per
         container += n

@@ -151,6 +151,24 @@ def test_plan_places_every_item_once():
         assert len(placed) == sum(histogram.values()) and max(filled.values()) <= capacity and set(filled) == set(range(n))
 
 
+def test_reduction_of_three():
+    count = np.zeros(11, np.int64)
+    count[[4, 3]] = 2, 4
+    assert [(sorted(s), n) for s, n in P.reduce_dominated(count, 10)] == [([3, 3, 4], 2)] and not count.any()
+    rng = random.Random(8)
+    seen = 0
+    for _ in range(150):
+        capacity = rng.randint(10, 30)
+        sizes = sorted((rng.randint(capacity // 5 + 1, capacity // 2) for _ in range(rng.randint(3, 9))), reverse=True)
+        count = np.bincount(sizes, minlength=capacity + 1)
+        fixed = P.reduce_dominated(count, capacity)
+        seen += any(len(s) == 3 for s, _ in fixed)
+        rest = [s for s in range(capacity, 0, -1) for _ in range(count[s])]
+        assert all(sum(s) <= capacity for s, _ in fixed)
+        assert sum(n for _, n in fixed) + (exact_bins(rest, capacity) if rest else 0) == exact_bins(sizes, capacity), (sizes, capacity)
+    assert seen
+
+
 def test_pack_frame(spark):
     rows = [(i, s) for i, s in enumerate([None, 0, 25, 10, 10, 10, 7, 3, 3, 3, 3, 3, 1])]
     df = spark.createDataFrame([*rows, (99, 10), (99, 10), (None, 4)], "doc_id long, size int").withColumn("container", F.lit("clash"))
