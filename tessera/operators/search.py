@@ -199,12 +199,20 @@ def usable_vector(v: Column, dim: int) -> Column:
     return v.isNotNull() & (F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
 
 
-def nearest_units(vectors: DataFrame, query: DataFrame, k: int | None, unit: str = "unit_id", dim: int = 64, readable: DataFrame | None = None) -> DataFrame:
+def nearest_units(vectors: DataFrame, query: DataFrame, k: int | None, unit: str = "unit_id", dim: int = 64, readable: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """(unit, score) of the units most similar to the one query vector (a frame of one row, column q): the best of each unit's vectors,
-    those of its translations among them. Filters apply before the cut. An empty query gives no rows."""
+    those of its translations among them. Filters apply before the cut. An empty query gives no rows.
+
+    With `by`, the query is a frame of any number of vectors (columns by and q): (by, unit, score), the k best for each value of by.
+    """
     rows = vectors.filter(usable_vector(F.col("vector"), dim))
     if readable is not None:
         rows = rows.join(readable, "asset_id", "left_semi")
+    if by is not None:
+        scored = rows.crossJoin(query.select(by, "q")).select(by, unit, dot(F.col("vector"), F.col("q")).alias("score"))
+        best = scored.groupBy(by, unit).agg(F.max("score").alias("score")).withColumn("score", F.round("score", 6))
+        r = F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), unit))
+        return best.withColumn("_r", r).filter(F.col("_r") <= k).drop("_r") if k else best
     scored = rows.crossJoin(F.broadcast(query.limit(1))).select(unit, dot(F.col("vector"), F.col("q")).alias("score"))
     best = scored.groupBy(unit).agg(F.max("score").alias("score"))
     return top(best, k, unit) if k else best.withColumn("score", F.round("score", 6))

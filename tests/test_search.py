@@ -79,6 +79,15 @@ def test_vectors(spark):
     assert search.nearest_units(v, q.limit(0), 5, dim=2).collect() == []
 
 
+def test_several_query_vectors(spark):
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("b", [0.6, 0.8]), ("c", [0.8, 0.6]), ("d", None)], "unit_id string, vector array<float>")
+    q = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.6, 0.8]), (3, [0.8, 0.6])], "query long, q array<float>")
+    got = {(r["query"], r["unit_id"], round(r["score"], 3)) for r in search.nearest_units(v, q, 2, dim=2, by="query").collect()}
+    assert got == {(1, "a", 1.0), (1, "b", 0.8), (2, "b", 1.0), (2, "c", 0.96), (3, "c", 1.0), (3, "b", 0.96)}
+    assert search.nearest_units(v, q, None, dim=2, by="query").count() == 9
+    assert search.nearest_units(v, q.limit(0), 2, dim=2, by="query").collect() == []
+
+
 def test_snippet():
     text = "one two three four five six seven eight nine ten eleven twelve thirteen quay crane end"
     assert "[quay crane]" in snippet(text, phrases("quay-crane"))
