@@ -3,6 +3,7 @@
 A routing tree of vantage points, fitted on a bounded sample, parts the unit sphere into shards. Each vector goes to its own shard
 and to every shard that the relaxed triangle inequality does not rule out for it, and all vectors of a shard are compared, through a
 vantage-point tree that prunes alike. Similarity is symmetric: where an edge parts a pair, one of the two lies within half the radius of it.
+Vectors travel as 24-bit fixed-point numbers, as exact as 32-bit floats are.
 """
 
 from __future__ import annotations
@@ -11,20 +12,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.session import cut_lineage, spread
+from tessera.session import spread
 
 #: Vectors that the routing tree is fitted on, at most; the tree only routes, every vector is indexed.
 SAMPLE = 50_000
-#: Vectors a shard may hold (some 50 MB in a task), shards that there are at least, and vectors of a leaf of a shard's tree. Few, large
-#: shards keep copies of vectors near an edge few; pruning within a shard costs no shuffle.
-SHARD, LEAST_SHARDS, LEAF = 1 << 16, 16, 256
+#: Vectors of a shard (3 MB, and as much again per copy), shards that there are at least, and vectors of a leaf of a shard's tree. Each
+#: doubling of the shards adds about a fifth to the copies of vectors near an edge.
+SHARD, LEAST_SHARDS, LEAF = 1 << 14, 16, 256
 #: How far the triangle inequality is relaxed: a side is left out when its bound exceeds radius / FACTOR. 1 is exact search.
 FACTOR = 8.0
 
@@ -120,8 +120,8 @@ def search(index: np.ndarray, asked: np.ndarray, min_cos: float, factor: float,
 
 
 def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
-    """(key, unit): vectors of the given length as 32-bit floats of norm one, one after the other in a binary; null, all-zero,
-    non-finite and other vectors are set aside, and of rows with the same key the first vector by value stays."""
+    """(key, id, unit): vectors of the given length in 24-bit fixed point, their largest number as 2**23 - 1, in a binary; id is a hash of it.
+    Null, all-zero, non-finite and other vectors are set aside."""
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,72 +129,129 @@ def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
             ok = np.asarray(pa.compute.equal(pa.compute.list_value_length(lists), dim).fill_null(False))
             keys, lists = batch.column(0).filter(pa.array(ok)), lists.filter(pa.array(ok))
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            norm = np.linalg.norm(flat, axis=1)
-            good = np.isfinite(norm) & (norm > 0)
-            x = np.ascontiguousarray((flat[good] / norm[good, None]).astype(np.float32))
-            out = pa.array([r.tobytes() for r in x], pa.binary())
-            yield pa.RecordBatch.from_arrays([keys.filter(pa.array(good)), out], names=["key", "unit"])
+            most = np.abs(flat).max(axis=1, initial=0.0)
+            good = np.isfinite(most) & (most > 0)
+            fixed = np.rint(flat[good] / most[good, None] * (2**23 - 1)).astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+            out = pa.Array.from_buffers(pa.binary(3 * dim), int(good.sum()), [None, pa.py_buffer(fixed)])
+            yield pa.RecordBatch.from_arrays([keys.filter(pa.array(good)), out.cast(pa.binary())], names=["key", "unit"])
 
     rows = df.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{vector}`").cast("array<float>").alias("v")).filter("key IS NOT NULL AND v IS NOT NULL")
-    return spread(rows).mapInArrow(units, "key string, unit binary")
-
-
-def similar_pairs(vectors: DataFrame, dim: int, min_cos: float, factor: float = FACTOR, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
-    """(a, b, cos) of vectors (id long, unit binary) at least min_cos similar, a < b, each pair once.
-
-    Equal vectors should be one row; see nearest(). factor 1 finds every pair; a larger one trades accuracy for pruning.
+    return spread(rows).mapInArrow(units, "key string, unit binary").select("key", F.xxhash64("unit").alias("id"), "unit")
+
+
+def unit_vectors(fixed: pa.Array, dim: int) -> np.ndarray:
+    """The vectors of a column of usable(), of norm one."""
+    raw = np.frombuffer(b"".join(fixed.to_pylist()), dtype=np.uint8).reshape(-1, 3)
+    four = np.zeros((len(raw), 4), dtype=np.uint8)
+    four[:, 1:] = raw
+    x = (four.view("<i4").reshape(-1, dim) >> 8).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+class Best:
+    """The k best partners of every row, ties with the k-th included: a row never holds all its pairs."""
+
+    def __init__(self, rows: int, k: int | None):
+        self.k, self.held = k, []
+        self.bar = np.full(rows, -2.0, dtype=np.float32)
+        self.size = 0
+
+    def add(self, i: np.ndarray, j: np.ndarray, c: np.ndarray) -> None:
+        keep = c >= self.bar[i]
+        self.held.append((i[keep], j[keep], c[keep]))
+        self.size += int(keep.sum())
+        if self.k and self.size > max(1 << 20, 4 * self.k * len(self.bar)):
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.array([], np.int64), np.array([], np.int64), np.array([], np.float32)
+        i, j, c = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        if self.k and len(i):
+            order = np.lexsort((-c, i))
+            i, j, c = i[order], j[order], c[order]
+            first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+            count = np.diff(np.r_[first, len(i)])
+            full = count >= self.k
+            self.bar[i[first[full]]] = c[first[full] + self.k - 1]
+            keep = c >= self.bar[i]
+            i, j, c = i[keep], j[keep], c[keep]
+        self.held, self.size = [(i, j, c)], len(i)
+        return i, j, c
+
+
+def similar_pairs(vectors: DataFrame, n: int, sample: DataFrame, dim: int, min_cos: float, k: int | None = None, factor: float = FACTOR, shard: int = SHARD) -> DataFrame:
+    """(a, b, cos) of vectors (id long, unit binary) at least min_cos similar, a < b, each pair once; with k, of those that are among the k
+    most similar of either in some shard. Rows with the same id count once.
+
+    n is about how many vectors there are, sample a frame of some (unit), bounded by the caller, that the routing tree is fitted on.
+    factor 1 finds every pair; a larger one trades accuracy for pruning.
     """
-    spark = vectors.sparkSession
-    n = vectors.count()
     depth = max(int(np.log2(LEAST_SHARDS)), int(np.ceil(np.log2(max(1, n / shard))))) if n > LEAF else 0
-    taken = vectors.select("unit").orderBy(F.xxhash64("unit")).limit(min(sample, max(2000, 50 << depth))).toPandas() if depth else None
-    tree = routing_tree(np.frombuffer(b"".join(taken["unit"]), dtype=np.float32).reshape(-1, dim), depth) if depth else 0
+    tree = routing_tree(unit_vectors(sample.toArrow().column("unit"), dim), depth) if depth else 0
     radius = float(np.sqrt(max(0.0, 2.0 - 2.0 * min_cos)))
     # Of a pair that an edge parts, one side lies within half the radius of it; so the two share a shard at any depth, as visitors or not.
     slack = radius / factor / 2
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # equal vectors leave a partition once, as long as it remembers them
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.float32).reshape(-1, dim)
-            rows, shards = route(tree, x, slack)
+            ids = batch.column(0).to_pylist()
+            fresh = []
+            for r, i in enumerate(ids):
+                if i not in seen:
+                    seen.add(i)
+                    fresh.append(r)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            if not fresh:
+                continue
+            batch = batch.take(pa.array(fresh))
+            rows, shards = route(tree, unit_vectors(batch.column(1), dim), slack)
             yield pa.RecordBatch.from_arrays([pa.array(shards), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], names=["shard", "id", "unit"])
 
-    def found(f: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(f["unit"]), dtype=np.float32).reshape(-1, dim)
-        ids = f["id"].to_numpy()
-        pairs, cos = [np.array([], np.int64)], [np.array([], np.float32)]
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = [b for b in batches if b.num_rows]  # the partition is one shard
+        if not whole:
+            return
+        rows = pa.Table.from_batches(whole)
+        ids, first = np.unique(rows.column("id").to_numpy(), return_index=True)
+        x = unit_vectors(rows.column("unit").take(pa.array(first)), dim)
+        best = Best(len(x), k)
         for i, j, c in search(x, x, min_cos, factor):
             apart = i != j
-            pairs.append((np.minimum(i, j) * len(x) + np.maximum(i, j))[apart])
-            cos.append(c[apart])
-        pairs, first = np.unique(np.concatenate(pairs), return_index=True)  # most pairs come from both sides
-        a, b = ids[pairs // len(x)], ids[pairs % len(x)]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cos": np.concatenate(cos)[first]})
-
-    rows = vectors.select("id", "unit").mapInArrow(routed, "shard int, id long, unit binary")
-    shards = 1 << depth
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = rows.repartition(min(shards, parts), "shard") if shards > 1 else rows
-    pairs = rows.groupBy("shard").applyInPandas(found, "a long, b long, cos float")
+            best.add(i[apart], j[apart], c[apart])
+        i, j, c = best.cut()
+        pairs, once = np.unique(np.minimum(i, j) * len(x) + np.maximum(i, j), return_index=True)  # most pairs come from both sides
+        for at in range(0, len(pairs), 100_000):
+            p = pairs[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[p // len(x)]), pa.array(ids[p % len(x)]), pa.array(c[once[at : at + 100_000]])], names=["a", "b", "cos"])
+
+    rows = vectors.select("id", "unit").mapInArrow(routed, "shard int, id long, unit binary").repartitionById(1 << depth, "shard")
+    pairs = rows.mapInArrow(found, "a long, b long, cos float")
     return pairs.groupBy("a", "b").agg(F.max("cos").alias("cos"))
 
 
-def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int, min_cos: float, factor: float = FACTOR) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int, min_cos: float, factor: float = FACTOR, sample: int = SAMPLE) -> DataFrame:
     """(key, neighbour, cos, rank): the up to k others most similar to each vector, of those at least min_cos similar.
 
-    Rows with the same key count once. Equal vectors are searched as one; of ties in similarity the smaller key comes first, so a
-    group of equal vectors yields k rows per member, not all its pairs. No rows for an empty table.
+    Rows with the same key count once, with the vector of least hash. Equal vectors are searched as one; of ties in similarity the smaller
+    key comes first, so a group of equal vectors yields k rows per member, not all its pairs. No rows for an empty table.
     """
-    units = usable(df, key, vector, dim).withColumn("id", F.xxhash64("unit"))
+    n = df.count()
+    # By the hash of the vector itself: rows are chosen where they lie, none is sorted or sent; equal ones are one in the sample.
+    some = df.filter(F.pmod(F.xxhash64(F.col(f"`{vector}`").cast("array<float>")), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(n, 1)) * (1 << 30))))
+    units = usable(df, key, vector, dim)
     vectors = units.groupBy("key").agg(F.min("id").alias("id"))
-    groups = cut_lineage(units.groupBy("id").agg(F.first("unit").alias("unit")))
-    pairs = similar_pairs(groups, dim, min_cos, factor)
+    pairs = similar_pairs(units, n, usable(some, key, vector, dim).select("unit").distinct(), dim, min_cos, k, factor)
     both = pairs.select("cos", F.inline(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).select("a", "b", "cos")
     # The members of a group that can be among the k nearest of anything are its k + 1 smallest keys.
     members = first_members(vectors, k + 1)
     # k groups hold at least k members; ties stay until their keys decide.
     best = both.withColumn("_r", F.rank().over(W.partitionBy("a").orderBy(F.desc("cos")))).filter(F.col("_r") <= k)
-    links = best.select("a", "b", "cos").unionByName(vectors.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).cast("float").alias("cos")).distinct())
+    # Only groups of several members are near themselves.
+    several = members.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).cast("float").alias("cos"))
+    links = best.select("a", "b", "cos").unionByName(several)
     asked = vectors.select(F.col("id").alias("a"), F.col("key"))
     rows = links.join(members.select(F.col("id").alias("b"), F.col("key").alias("neighbour")), "b").select("a", "neighbour", "cos")
     near = _ranked(rows, "a", k + 1)  # bounded: k + 1 per group, one of which may be the asking key itself

@@ -132,12 +132,20 @@ def test_boosting():
     assert ((m.predict(x[400:]) > 0.5) == y[400:]).mean() > 0.9
 
 
+def pairs_by_number(spark, x, min_cos, factor, shard=N.SHARD):
+    """similar_pairs() of the rows of x, which are told by their numbers."""
+    units = N.usable(spark.createDataFrame([(str(n), v.tolist()) for n, v in enumerate(x)], "k string, v array<float>"), "k", "v", x.shape[1])
+    by = {r["id"]: int(r["key"]) for r in units.select("id", "key").collect()}
+    got = N.similar_pairs(units, len(x), units.select("unit"), x.shape[1], min_cos, None, factor, shard).toPandas()
+    a, b = got["a"].map(by), got["b"].map(by)
+    return got.assign(a=np.minimum(a, b), b=np.maximum(a, b))
+
+
 def test_neighbours_few_dimensions(spark):
     x = np.random.default_rng(11).normal(size=(2000, 3))
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     i, j = np.nonzero(np.triu(x @ x.T >= 0.88 + 1e-5, 1))
-    df = spark.createDataFrame([(n, bytearray(v.tobytes())) for n, v in enumerate(x)], "id long, unit binary")
-    got = N.similar_pairs(df, 3, 0.88, 1.0).toPandas()
+    got = pairs_by_number(spark, x, 0.88, 1.0)
     assert not got.duplicated(["a", "b"]).any() and (got["a"] < got["b"]).all()
     assert {*zip(i.tolist(), j.tolist())} <= {*zip(got["a"], got["b"])} and got["cos"].min() >= 0.88
 
@@ -148,8 +156,8 @@ def test_neighbours_recall_of_deep_trees(spark):
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     i, j = np.nonzero(np.triu(x @ x.T >= 0.88, 1))
     want = {*zip(i.tolist(), j.tolist())}
-    df = spark.createDataFrame([(n, bytearray(v.tobytes())) for n, v in enumerate(x)], "id long, unit binary")
-    got = {(r["a"], r["b"]) for r in N.similar_pairs(df, 64, 0.88, shard=50).collect()}
+    found = pairs_by_number(spark, x, 0.88, N.FACTOR, 50)
+    got = {*zip(found["a"], found["b"])}
     assert len(got & want) >= 0.955 * len(want)
 
 
@@ -260,3 +268,25 @@ def test_redelivered_rows_count_once(spark, sf_dir):
         df = Q.QUERIES[name](spark, sf_dir)
         rows = df.collect()
         assert len(rows) == len(set(rows))
+
+
+def test_factor_one_is_exact_at_any_depth(spark):
+    """Three dimensions and many levels: pairs meet as visitors of a shard that is neither's own."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 3))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(f"v{i:04}", v.tolist()) for i, v in enumerate(x)], "k string, v array<double>")
+    units = N.usable(df, "k", "v", 3)
+    by = {r["id"]: r["key"] for r in units.select("id", "key").collect()}
+    want = {(f"v{i:04}", f"v{j:04}") for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.97 + 1e-5, 1)))}
+    got = {tuple(sorted((by[r["a"]], by[r["b"]]))) for r in N.similar_pairs(units, 3000, units.select("unit"), 3, 0.97, factor=1.0, shard=12).collect()}
+    assert 3000 / 12 > 2**7 and want <= got
+
+
+def test_a_dense_cloud_keeps_k_pairs_each():
+    best = N.Best(4, 2)
+    best.add(np.array([0, 0, 0, 1]), np.array([1, 2, 3, 0]), np.array([0.9, 0.95, 0.9, 0.9], np.float32))
+    i, j, _ = best.cut()
+    assert sorted(zip(i.tolist(), j.tolist())) == [(0, 1), (0, 2), (0, 3), (1, 0)]  # a tie with the second stays
+    best.add(np.array([0]), np.array([1]), np.array([0.5], np.float32))
+    assert len(best.cut()[0]) == 4
