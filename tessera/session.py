@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Operators of a plan that shuffle.
+_WIDE = re.compile(r"^[\s+:-]*(Aggregate|Join|Window|Sort|Repartition|RebalancePartitions|Deduplicate|Distinct|GlobalLimit|Except|Intersect|FlatMapGroups|CoGroup)", re.M)
 #: Tables of the data directory, each one Parquet file or folder.
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings sources assets content_units "
@@ -24,6 +27,7 @@ def local_session(cpus: int | None = None, memory: str = "8g", name: str = "tess
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -58,8 +62,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Bring a frame that came in few partitions onto all cores ahead of Python work; larger ones stay as they are.
 
-    Small single-file tables arrive in one partition; the exchange then moves a few MB only.
+    Small single-file tables arrive in one partition; the exchange then moves a few MB only. A frame behind a shuffle stays as it is, too:
+    asking for its partitions would run it, and its exchange has parted it already.
     """
-    sc = df.sparkSession.sparkContext
-    want = partitions or max(sc.defaultParallelism, 4)
+    if _WIDE.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
+    want = partitions or max(df.sparkSession.sparkContext.defaultParallelism, 4)
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
