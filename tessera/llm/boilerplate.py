@@ -10,10 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.session import spread
+from tessera.session import cut_lineage, spread
 
 #: Folders of merging: summaries meet in this many groups per source before the last merge, so that no task gets those of all partitions.
 FAN_IN = 32
@@ -42,6 +44,11 @@ def shrink(counts: pd.Series, k: int) -> pd.Series:
     return counts[counts > 0]
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint where its checked size allows it; beyond, the join shuffles and adaptive execution splits hot keys."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def heavy_hitters(lines: DataFrame, source: str, k: DataFrame) -> DataFrame:
     """(source, line_key) that may stand in more than 1/(k+1) of the source's lines, k per source from the frame (source, k).
 
@@ -65,7 +72,7 @@ def heavy_hitters(lines: DataFrame, source: str, k: DataFrame) -> DataFrame:
         return pd.DataFrame({"source": f["source"].iloc[0], "line_key": n.index, "n": n.to_numpy(), "k": k})
 
     schema = "source string, line_key long, n long, k long"
-    rows = lines.select(F.col(f"`{source}`").alias("source"), "line_key").join(F.broadcast(k), "source")
+    rows = lines.select(F.col(f"`{source}`").alias("source"), "line_key").join(small(k), "source")
     parts = rows.mapInPandas(summarise, schema).withColumn("fold", F.spark_partition_id() % FAN_IN)
     half = parts.groupBy("source", "fold").applyInPandas(lambda f: merge(f.drop(columns="fold")), schema)
     return half.groupBy("source").applyInPandas(merge, schema).select("source", "line_key")
@@ -80,24 +87,20 @@ def repeated_lines(df: DataFrame, source: str, asset: str, text: str, share: flo
     df = df.filter(F.col(f"`{source}`").isNotNull() & F.col(f"`{asset}`").isNotNull())
     sized = df.groupBy(F.col(f"`{source}`").alias("source"), F.col(f"`{asset}`").alias("asset")).agg(F.sum(F.size(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n"))).alias("lines"))
     totals = sized.groupBy("source").agg(F.count("*").alias("assets"), F.sum("lines").alias("lines"))
-    totals = totals.withColumn("bar", F.greatest(F.ceil(F.col("assets") * share - 1e-9), F.lit(least)))
+    totals = cut_lineage(totals.withColumn("bar", F.greatest(F.ceil(F.col("assets") * share - 1e-9), F.lit(least))))
     lines = lines_of(df, asset, text, [source]).filter(F.col("line_key").isNotNull())
     k = totals.select("source", (F.ceil(F.col("lines") / F.col("bar")) + 1).alias("k"))
     candidates = heavy_hitters(lines, source, k)
     exact = lines.select(F.col(f"`{source}`").alias("source"), F.col(f"`{asset}`").alias("asset"), "line_key").join(candidates, ["source", "line_key"], "left_semi")
     counts = exact.distinct().groupBy("source", "line_key").agg(F.count("*").alias("assets"))
-    return counts.join(totals.select("source", "bar"), "source").filter(F.col("assets") >= F.col("bar")).select("source", "line_key", "assets")
+    return counts.join(small(totals.select("source", "bar")), "source").filter(F.col("assets") >= F.col("bar")).select("source", "line_key", "assets")
 
 
-def _confirmed(df: DataFrame, source: str, asset: str, text: str, share: float, least: int) -> DataFrame:
-    found = repeated_lines(df, source, asset, text, share, least).persist()
-    return F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-
 
 def find_repeated(df: DataFrame, key: str, source: str, asset: str, text: str, share: float = 0.15, least: int = 3) -> DataFrame:
     """(key, line_no) of every repeated line; a redelivered row counts once."""
     df = spread(df)
-    confirmed = _confirmed(df, source, asset, text, share, least)
+    confirmed = small(cut_lineage(repeated_lines(df, source, asset, text, share, least)))
     lines = lines_of(df, key, text, [source]).withColumnRenamed(source, "source")
     return lines.join(confirmed, ["source", "line_key"], "left_semi").select(F.col(f"`{key}`"), "line_no").distinct()
 
@@ -107,9 +110,36 @@ def remove_repeated(df: DataFrame, key: str, source: str, asset: str, text: str,
 
     Null texts stay null; a text of which every line is repeated becomes empty; the order of the other lines is kept.
     """
-    confirmed = _confirmed(spread(df), source, asset, text, share, least)
-    keys = confirmed.groupBy(F.col("source").alias("_source")).agg(F.collect_set("line_key").alias("_keys"))  # a source has at most 1/share x its mean lines per asset
-    joined = df.join(F.broadcast(keys) if confirmed.count() <= BROADCAST_ROWS else keys, F.col(f"`{source}`") == F.col("_source"), "left")
-    lines = F.split(F.col(f"`{text}`"), "\n")
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_keys"), line_key(x)), F.lit(False)))
-    return joined.withColumns({"clean_text": F.array_join(kept, "\n"), "removed": F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(lines) - F.size(kept))}).drop("_source", "_keys")
+    df = spread(df)
+    confirmed = cut_lineage(repeated_lines(df, source, asset, text, share, least))
+    if confirmed.count() > BROADCAST_ROWS:
+        return _remove_by_row(df, source, text, confirmed)
+    sets: dict[str, set[int]] = {}
+    for r in confirmed.collect():  # at most BROADCAST_ROWS
+        sets.setdefault(r["source"], set()).add(r["line_key"])
+    sent, names = df.sparkSession.sparkContext.broadcast(sets), [*df.columns, "clean_text", "removed"]
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sources, texts, keys = (c.to_pylist() for c in batch.columns[-3:])
+            out, removed = [], []
+            for s, t, ks in zip(sources, texts, keys, strict=True):
+                gone = sent.value.get(s)
+                kept = t if t is None or not gone or gone.isdisjoint(ks) else [x for x, k in zip(t.split("\n"), ks, strict=True) if k not in gone]
+                removed.append(0 if kept is t else len(ks) - len(kept))
+                out.append(kept if kept is t else "\n".join(kept))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(out, pa.string()), pa.array(removed, pa.int32())], names=names)
+
+    asked = df.select("*", F.col(f"`{source}`").cast("string"), F.col(f"`{text}`"), F.transform(F.split(F.col(f"`{text}`"), "\n"), line_key)).toDF(*(f"c{i}" for i in range(len(df.columns) + 3)))
+    return asked.mapInArrow(clean, T.StructType([*df.schema.fields, T.StructField("clean_text", T.StringType()), T.StructField("removed", T.IntegerType())]))
+
+
+def _remove_by_row(df: DataFrame, source: str, text: str, confirmed: DataFrame) -> DataFrame:
+    """remove_repeated() by joins on (source, line): rows are numbered, their repeated lines found and brought back to them by number."""
+    numbered = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+    lines = numbered.select("_row", F.col(f"`{source}`").alias("source"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("_at", "_line")).withColumn("line_key", line_key(F.col("_line"))).filter("line_key IS NOT NULL")
+    gone = lines.join(confirmed, ["source", "line_key"], "left_semi").groupBy("_row").agg(F.collect_set("_at").alias("_gone"))  # lines of one text
+    split = F.split(F.col(f"`{text}`"), "\n")
+    kept = F.filter(split, lambda x, i: ~F.coalesce(F.array_contains(F.col("_gone"), i), F.lit(False)))
+    out = numbered.join(gone, "_row", "left")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.array_join(kept, "\n").alias("clean_text"), F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(split) - F.size(kept)).alias("removed"))

@@ -39,9 +39,19 @@ GREEK_OR_CYRILLIC = re.compile("[Ͱ-ԯ]")
 EMOJI = "©®‼-㊙\U0001f000-\U0001faff"
 
 
+def _seconds() -> list[int]:
+    """Characters that compose with one before them, whatever their combining class: the second ones of the composition pairs."""
+    out = set()
+    for c in range(0x80, sys.maxunicode + 1):
+        parts = unicodedata.decomposition(chr(c)).split(" ")
+        if len(parts) == 2 and parts[0][0] != "<" and unicodedata.normalize("NFC", "".join(chr(int(x, 16)) for x in parts)) == chr(c):
+            out.add(int(parts[1], 16))
+    return sorted(out)
+
+
 def _classes() -> tuple[list[int], list[int]]:
-    """Code points whose NFC quick check is not yes (or that start a Hangul sequence), and those with a plain compatibility form."""
-    nfc, compat = [], []
+    """Code points whose NFC quick check is no or maybe (or that start a Hangul sequence), and those with a plain compatibility form."""
+    nfc, compat = _seconds(), []
     for c in range(0x80, sys.maxunicode + 1):
         if 0xAC00 <= c <= 0xD7A3 or 0x4E00 <= c <= 0x9FFF or 0xD800 <= c <= 0xF8FF or 0x20000 <= c <= 0x2F7FF or 0x2FA1E < c:
             continue

@@ -31,12 +31,16 @@ SPELLINGS = {
 }
 _END = re.compile(r"(?<=[.!?])[\"'»”’)\]]*\s+|(?<=[。！？])[」』”’）]*\s*|\n[^\S\n]*\n\s*")
 _SCRIPT = {
-    "latin": (re.compile("[A-Za-zÀ-ɏ]"), ("en", "de", "fr", "es")),
-    "han": (re.compile("[㐀-鿿豈-﫿]"), ("zh", "ja")),
-    "kana": (re.compile("[぀-ヿｦ-ﾟ]"), ("ja",)),
-    "hangul": (re.compile("[가-힣ᄀ-ᇿ]"), ("ko",)),
-    "cyrillic": (re.compile("[Ѐ-ӿ]"), ("ru",)),
+    "latin": re.compile("[A-Za-zÀ-ɏ]"),
+    "han": re.compile("[㐀-鿿豈-﫿]"),
+    "kana": re.compile("[぀-ヿｦ-ﾟ]"),
+    "hangul": re.compile("[가-힣ᄀ-ᇿ]"),
+    "cyrillic": re.compile("[Ѐ-ӿ]"),
+    "greek": re.compile("[Ͱ-Ͽἀ-῿]"),
+    "other": re.compile(r"[\u0530-\u10ff\u1200-\u1dff]"),
 }
+#: Share of a sample's letters from which on a script is one of its language's.
+SCRIPT_SHARE = 0.05
 _LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"[㐀-鿿぀-ヿ]|[^\W\d_]+")
 
@@ -69,6 +73,10 @@ class Classifier:
             self.with_dictionary[lang] = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **plain)
         self.bare = zstandard.ZstdCompressor(**plain)
         self.languages = list(samples)
+        # The scripts of a language are those that its samples are written in.
+        self.of_script = {}
+        for script, pattern in _SCRIPT.items():
+            self.of_script[script] = [x for x, t in samples.items() if len(pattern.findall(t)) > SCRIPT_SHARE * len(_LETTER.findall(t))]
 
     def sizes(self, parts: list[str]) -> np.ndarray:
         """(parts, languages + 1): bytes left by each dictionary, the last without one; a language whose script does not occur is out."""
@@ -80,14 +88,11 @@ class Classifier:
         wanted: dict[str, list[int]] = {x: [] for x in self.languages}
         for i, p in enumerate(parts):
             if p.isascii():
-                names = _SCRIPT["latin"][1]
+                names = self.of_script["latin"]
             else:
-                names = {x for r, xs in _SCRIPT.values() if r.search(p) for x in xs}
-                if "ko" in names:
-                    names -= {"zh", "ja"}
+                names = {x for script, r in _SCRIPT.items() if r.search(p) for x in self.of_script[script]}
             for x in names:
-                if x in wanted:
-                    wanted[x].append(i)
+                wanted[x].append(i)
         for k, x in enumerate(self.languages):
             if rows := wanted[x]:
                 out[rows, k] = self._all(self.with_dictionary[x], [raw[i] for i in rows])

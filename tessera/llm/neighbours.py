@@ -180,6 +180,11 @@ class Best:
         return i, j, c
 
 
+def depth_for(n: int, shard: int) -> int:
+    """Levels of the routing tree for n vectors."""
+    return max(int(np.log2(LEAST_SHARDS)), int(np.ceil(np.log2(max(1, n / shard))))) if n > LEAF else 0
+
+
 def similar_pairs(vectors: DataFrame, n: int, sample: DataFrame, dim: int, min_cos: float, k: int | None = None, factor: float = FACTOR, shard: int = SHARD) -> DataFrame:
     """(a, b, cos) of vectors (id long, unit binary) at least min_cos similar, a < b, each pair once; with k, of those that are among the k
     most similar of either in some shard. Rows with the same id count once.
@@ -187,7 +192,7 @@ def similar_pairs(vectors: DataFrame, n: int, sample: DataFrame, dim: int, min_c
     n is about how many vectors there are, sample a frame of some (unit), bounded by the caller, that the routing tree is fitted on.
     factor 1 finds every pair; a larger one trades accuracy for pruning.
     """
-    depth = max(int(np.log2(LEAST_SHARDS)), int(np.ceil(np.log2(max(1, n / shard))))) if n > LEAF else 0
+    depth = depth_for(n, shard)
     tree = routing_tree(unit_vectors(sample.toArrow().column("unit"), dim), depth) if depth else 0
     radius = float(np.sqrt(max(0.0, 2.0 - 2.0 * min_cos)))
     # Of a pair that an edge parts, one side lies within half the radius of it; so the two share a shard at any depth, as visitors or not.
@@ -239,8 +244,9 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int, min_cos: flo
     key comes first, so a group of equal vectors yields k rows per member, not all its pairs. No rows for an empty table.
     """
     n = df.count()
+    wanted = min(sample, max(2000, 100 << depth_for(n, SHARD)))  # a hundred for every edge of the last level
     # By the hash of the vector itself: rows are chosen where they lie, none is sorted or sent; equal ones are one in the sample.
-    some = df.filter(F.pmod(F.xxhash64(F.col(f"`{vector}`").cast("array<float>")), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(n, 1)) * (1 << 30))))
+    some = df.filter(F.pmod(F.xxhash64(F.col(f"`{vector}`").cast("array<float>")), F.lit(1 << 30)) < F.lit(int(min(1.0, wanted / max(n, 1)) * (1 << 30))))
     units = usable(df, key, vector, dim)
     vectors = units.groupBy("key").agg(F.min("id").alias("id"))
     pairs = similar_pairs(units, n, usable(some, key, vector, dim).select("unit").distinct(), dim, min_cos, k, factor)

@@ -1,7 +1,7 @@
 """Problem 9: fill containers of one capacity with items of varying length.
 
 Only the number of items of each size matters for the plan, and sizes are at most the capacity: the plan is made from a histogram of
-bounded length, whatever the number of items. It first fixes containers that provably dominate all others (the reduction of Martello
+bounded length, and places equal containers as one run, whatever the number of items. It first fixes containers that provably dominate all others (the reduction of Martello
 and Toth), then places what is left by best fit, largest first. Items take their places by their rank within their size.
 """
 
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from tessera.llm.encode import PATTERN, TOKENIZERS
 from tessera.session import cut_lineage, spread
 
-#: Groups per size in which ranks are counted, so that a size that a third of all items have doesn't meet in one task.
-SALT = 64
+#: Items per group in which ranks are counted, about, so that a size that a third of all items have doesn't meet in one task; least groups.
+SALTED, LEAST_SALTS = 1 << 20, 16
 
 
 @lru_cache(2)
@@ -101,9 +101,8 @@ def reduce_dominated(count: np.ndarray, capacity: int) -> list[tuple[tuple[int,
                             continue
                 if not ok:
                     break
+                # Taking items away leaves fewer others to fit beside j, so the pair dominates as long as there is one.
                 n = int(count[j] // 2) if i == j else int(min(count[j], count[i]))
-                if i != room:
-                    n = 1  # only an exact fill stays dominant whatever the counts
                 fixed.append(((int(j), i), n))
                 count[j] -= n
                 count[i] -= n
@@ -201,21 +200,31 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     number = F.greatest(F.ceil(size_of / capacity), F.lit(1))
     pieces = items.select(F.col(f"`{key}`"), size_of.alias("_whole"), F.explode(F.sequence(F.lit(1), number)).alias("piece_no")).select(
         F.col(f"`{key}`"), F.col("piece_no").cast("int"), ((F.col("piece_no") - 1) * capacity).alias("start"), F.least(F.col("_whole") - (F.col("piece_no") - 1) * capacity, F.lit(capacity)).alias("size")
-    ).withColumn("salt", F.pmod(F.xxhash64(F.col(f"`{key}`"), "piece_no"), F.lit(SALT)).cast("int"))
+    )
     pieces = cut_lineage(pieces)  # the histogram and the placement see the same rows, and sizes are measured once
-    counts = pieces.filter("size > 0").groupBy("size", "salt").agg(F.count("*").alias("n"))  # at most capacity x SALT rows
+    histogram = {r["size"]: r["n"] for r in pieces.filter("size > 0").groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most a row per size
+    runs, _ = plan(histogram, capacity)
+    runs.sort(key=lambda r: (r.size, r.first))
+    # Runs are bounded by the capacity, as the histogram is; each task finds an item's run by bisection.
+    sent = spark.sparkContext.broadcast(np.array([(r.size, r.first, r.n, r.per, r.container) for r in runs], dtype=np.int64).reshape(-1, 5))
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64(F.col(f"`{key}`"), "piece_no"), F.lit(max(LEAST_SALTS, sum(histogram.values()) // SALTED))).cast("int"))
+    counts = pieces.filter("size > 0").groupBy("size", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
     offsets = counts.select("size", "salt", F.coalesce(before, F.lit(0)).alias("_off"))
-    histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most a row per size
-    runs, _ = plan(histogram, capacity)
-    by_size: dict[int, list[tuple[int, int, int, int]]] = {}
-    for r in runs:
-        by_size.setdefault(r.size, []).append((r.first, r.n, r.per, r.container))
-    kind = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64()), ("per", pa.int64()), ("container", pa.int64())]))
-    places = spark.createDataFrame(pa.table({"size": pa.array(list(by_size), pa.int64()), "_runs": pa.array([[dict(zip(("first", "n", "per", "container"), x, strict=True)) for x in sorted(v)] for v in by_size.values()], kind)}))
     ranked = pieces.withColumn("_rank", F.row_number().over(W.partitionBy("size", "salt").orderBy(F.col(f"`{key}`"), "piece_no")) - 1)
-    ranked = ranked.join(F.broadcast(offsets), ["size", "salt"], "left").withColumn("_rank", F.col("_rank") + F.col("_off"))
-    placed = ranked.join(F.broadcast(places), "size", "left")  # bounded by the capacity: a size has a few runs
-    run = F.element_at(F.filter("_runs", lambda r: (r["first"] <= F.col("_rank")) & (F.col("_rank") < r["first"] + r["n"])), 1)
-    container = run["container"] + F.floor((F.col("_rank") - run["first"]) / run["per"])
-    return placed.select(F.col(f"`{key}`"), "piece_no", "start", "size", F.when(F.col("size") > 0, container).cast("long").alias("container"))
+    # The rows lie by (size, salt) already: only the offsets move for this join.
+    ranked = ranked.join(offsets, ["size", "salt"], "left").select(F.col(f"`{key}`"), "piece_no", "start", "size", (F.col("_rank") + F.coalesce("_off", F.lit(0))).cast("long").alias("_rank"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = sent.value
+        starts = np.searchsorted(r[:, 0], np.arange(capacity + 2))
+        for batch in batches:
+            size, rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+            container = np.zeros(len(size), dtype=np.int64)
+            for s in np.unique(size[size > 0]):
+                own, at = r[starts[s] : starts[s + 1]], np.flatnonzero(size == s)
+                run = own[np.searchsorted(own[:, 1], rank[at], side="right") - 1]
+                container[at] = run[:, 4] + (rank[at] - run[:, 1]) // run[:, 3]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(container, mask=size <= 0)], names=[key, "piece_no", "start", "size", "container"])
+
+    return ranked.mapInArrow(place, f"`{key}` {dict(items.dtypes)[key]}, piece_no int, start long, size long, container long")

@@ -15,7 +15,7 @@ from tessera.llm import split as S
 
 @pytest.mark.parametrize(
     "value, want",
-    [("Ｆｉｎｔοn", "Finton"), ("ﬁx", "fix"), ("áb", "áb"), ("ｶﾞﾊﾟ", "ガパ"), ("⻅⼈", "见人"), ("x‍y­z", "xyz"), ("B c　d", "B c d"), ("Роlѕkа", "Polska"), ("cмoтpи", "смотри"), ("각", "각"), ("", ""), (None, None)],
+    [("\u09c7\u09be", "\u09cb"), ("\u0bc6\u0bbe", "\u0bca"), ("\u1025\u102e", "\u1026"), ("\u0dd9\u0dcf", "\u0ddc"), ("Ｆｉｎｔοn", "Finton"), ("ﬁx", "fix"), ("áb", "áb"), ("ｶﾞﾊﾟ", "ガパ"), ("⻅⼈", "见人"), ("x‍y­z", "xyz"), ("B c　d", "B c d"), ("Роlѕkа", "Polska"), ("cмoтpи", "смотри"), ("각", "각"), ("", ""), (None, None)],
 )
 def test_canonical(value, want):
     assert C.canonical(value) == want
@@ -219,3 +219,20 @@ def test_labels(spark, samples):
     en = "Which survey covers the limit, and why is it slow?"
     tr = spark.createDataFrame([(1, "u", "en", "ru", en), (2, "u", "zh", "de", en), (3, "v", None, None, None), (4, "w", "", "en", en), (4, "w", "", "en", en)], "tr_id long, unit_id string, lang string, source_lang string, text string")
     assert set(map(tuple, L.wrong_labels(L.judged(tr, units, samples)).collect())) == {(2, "lang", "en"), (2, "source_lang", "ru"), (4, "lang", "en")}
+
+
+def test_plan_places_many_equal_items_in_few_runs():
+    runs, containers = P.plan({1100: 50_000, 900: 50_000}, 2048)
+    assert len(runs) < 100 and containers == 50_000 and sum(r.n for r in runs) == 100_000
+    few, _ = P.plan({s: 20 + s % 7 for s in range(1, 2049)}, 2048)
+    many, _ = P.plan({s: 1000 * (20 + s % 7) for s in range(1, 2049)}, 2048)
+    assert len(many) < 3 * len(few)  # the runs follow the sizes, not the items
+
+
+def test_languages_are_those_of_the_samples(spark):
+    """A language outside any table is tried where the samples hold it."""
+    greek = ["Η συνεδρίαση αρχίζει το πρωί και τελειώνει αργά.", "Το αρχείο περιέχει όλα τα έγγραφα της εβδομάδας.", "Η ομάδα ελέγχει κάθε πίνακα πριν από το τέλος."] * 5
+    english = ["The meeting begins in the morning and ends late.", "The archive holds all papers of the week.", "The team checks every table before the end."] * 5
+    c = L.Classifier({"en": "\n".join(english), "el": "\n".join(greek)})
+    found = c.segments(["Η ομάδα ελέγχει το αρχείο της εβδομάδας. The team checks the papers of the archive."])[0]
+    assert [s[2] for s in found] == ["el", "en"]
