@@ -156,20 +156,15 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return subject_shares(spark, d).groupBy("subject").agg(F.count("*").alias("documents")).crossJoin(F.broadcast(n)).select("subject", "documents", F.round(F.col("documents") / F.col("all"), 6).alias("share"))
 
 
-def scanned_units(spark: SparkSession, d: str) -> DataFrame:
-    """The units that are pages; only those can be scans."""
-    return table(spark, d, "content_units").filter("unit_type = 'page'")
-
-
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from tessera.llm.scans import scan_defects
 
-    return scan_defects(scanned_units(spark, d), "id", "asset_id", "ordinal", "text").withColumnRenamed("key", "unit_id")
+    return scan_defects(table(spark, d, "content_units"), "id", "asset_id", "ordinal", "text").withColumnRenamed("key", "unit_id")
 
 
 @query
 def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
     from tessera.llm.scans import repair
 
-    return repair(scanned_units(spark, d), "id", "asset_id", "ordinal", "text").withColumnRenamed("key", "unit_id")
+    return repair(table(spark, d, "content_units"), "id", "asset_id", "ordinal", "text").withColumnRenamed("key", "unit_id")
