@@ -1,7 +1,9 @@
 """Problem 8: ids of a public byte-level BPE tokenizer for every text.
 
 Each partition keeps its distinct stretches as rows (stretch, position, token) in DuckDB, where a recursive query joins neighbouring
-tokens with the merge table and contracts the leftmost pair of least rank of every stretch, until no pair is left.
+tokens with the merge table and contracts the leftmost pair of least rank of every stretch, until no pair is left. The rounds of a stretch
+grow with its length, so long ones are contracted window by window: ids are those of the whole exactly when every two neighbouring tokens
+are what the query makes of their bytes, which is checked at each seam; where it fails, tokens on both sides are contracted anew.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Stretches whose ids a task keeps across its batches; beyond, it forgets and encodes anew.
 KEPT = 400_000
+#: Bytes of a stretch that are contracted at once, and tokens on each side of a seam that are contracted anew where it doesn't hold.
+WINDOW, SEAM = 64, 4
 
 _MERGE = """
 WITH RECURSIVE step(w, pos, tok, round, open) AS (
@@ -61,7 +65,7 @@ class Encoder:
         for letter, b in letters.items():
             self.byte_id[b] = vocab[letter]
         merges = [(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         table = pa.table({"l": pa.array([vocab[a] for a, _ in merges], pa.int32()), "r": pa.array([vocab[b] for _, b in merges], pa.int32()), "merged": pa.array([vocab[a + b] for a, b in merges], pa.int32()), "rank": pa.array(range(len(merges)), pa.int64())})
         self.db.register("merge_rows", table)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
@@ -71,6 +75,7 @@ class Encoder:
             b = [letters[c] for c in token if c in letters]
             for x, y in zip(b, b[1:], strict=False):
                 self.joined[x, y] = True
+        self.raw = {i: bytes(letters[c] for c in token) for token, i in vocab.items() if all(c in letters for c in token)}
         self.parts = regex.compile(PATTERN)
         self.word: dict[str, tuple[int, ...]] = {}
         self.stretch: dict[bytes, tuple[int, ...]] = {}
@@ -89,7 +94,62 @@ class Encoder:
         return [blob[x:y] for x, y in zip(at, at[1:], strict=False)], np.searchsorted(edges, starts).tolist()
 
     def _merge(self, new: list[bytes]) -> None:
-        """Ids of the stretches, by the recursive query, in blocks of bounded size."""
+        """Ids of the stretches, long ones by windows."""
+        self._contract([s for s in new if len(s) <= WINDOW])
+        if long := [s for s in new if len(s) > WINDOW]:
+            self._by_windows(long)
+
+    def _by_windows(self, long: list[bytes]) -> None:
+        """Ids of long stretches: windows are contracted, then every seam that doesn't hold is, with ever more tokens around it."""
+        windows = [[s[i : i + WINDOW] for i in range(0, len(s), WINDOW)] for s in long]
+        self._contract([w for ws in windows for w in ws])
+        runs = [[list(self.stretch[w]) for w in ws] for ws in windows]
+        held = [[False] * (len(ws) - 1) for ws in windows]
+        wide = SEAM
+        while any(not all(h) for h in held):
+            pair = lambda a, b: self.raw[a[-1]] + self.raw[b[0]]
+            self._contract([pair(r[i], r[i + 1]) for r, h in zip(runs, held, strict=True) for i, ok in enumerate(h) if not ok])
+            cut: list[tuple[int, list]] = []
+            for k, (r, h) in enumerate(zip(runs, held, strict=True)):
+                parts, i = [[r[0], True]], 1  # token runs, each with whether the seam before it holds
+                for i in range(1, len(r)):
+                    parts.append([r[i], h[i - 1] or self.stretch[pair(r[i - 1], r[i])] == (r[i - 1][-1], r[i][0])])
+                out, i = [parts[0]], 1
+                while i < len(parts):
+                    tokens, ok = parts[i]
+                    left = out[-1]
+                    if ok or (len(left) == 3 and len(left[0]) < wide):  # what was just cut out here comes first; the seam waits for the next round
+                        out.append([tokens, ok])
+                    else:
+                        a, b = left[0][-wide:], tokens[:wide]
+                        left[0] = left[0][:-wide]
+                        middle = [a + b, not left[0] and left[1], None]
+                        if not left[0]:
+                            out.pop()
+                        out.append(middle)
+                        cut.append((k, middle))
+                        if len(tokens) > wide:
+                            out.append([tokens[wide:], False])
+                        elif i + 1 < len(parts):
+                            parts[i + 1][1] = False
+                    i += 1
+                runs[k] = out
+            self._contract([b"".join(self.raw[t] for t in m[0]) for _, m in cut])
+            for _, m in cut:
+                m[0] = list(self.stretch[b"".join(self.raw[t] for t in m[0])])
+            held = [[bool(p[1]) and not (len(p) == 3 or len(q) == 3) for q, p in zip(r, r[1:], strict=False)] for r in runs]
+            runs = [[p[0] for p in r] for r in runs]
+            wide *= 2
+        for s, r in zip(long, runs, strict=True):
+            self.stretch[s] = tuple(t for x in r for t in x)
+
+    def _contract(self, new: list[bytes]) -> None:
+        """Ids of the stretches not known yet, by the recursive query, in blocks of bounded size."""
+        new = sorted({s for s in new if s not in self.stretch}, key=len)
+        for s in new:
+            if len(s) == 1:
+                self.stretch[s] = (int(self.byte_id[s[0]]),)
+        new = [s for s in new if len(s) > 1]
         i = 0
         while i < len(new):
             block, size = [], 0

@@ -236,3 +236,19 @@ def test_languages_are_those_of_the_samples(spark):
     c = L.Classifier({"en": "\n".join(english), "el": "\n".join(greek)})
     found = c.segments(["Η ομάδα ελέγχει το αρχείο της εβδομάδας. The team checks the papers of the archive."])[0]
     assert [s[2] for s in found] == ["el", "en"]
+
+
+def test_long_stretches():
+    """Ids of stretches far longer than a window are those of the library, in a time that grows with the length only."""
+    import time
+
+    rng = random.Random(4)
+    e, library = E.Encoder(), P._tiktoken(E.TOKENIZERS, "byte_bpe_50k")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for text in ("".join(rng.choice(letters) for _ in range(100_000)), "=" * 100_000, "".join(rng.choice(["intern", "ational", "ization", "the", "ing"]) for _ in range(4000)), "你好世界漢字" * 500):
+        start = time.time()
+        assert e.encode([text])[0].tolist() == library.encode_ordinary(text)
+        assert time.time() - start < 10
+    for _ in range(60):
+        text = "".join(rng.choice(letters[: rng.randint(2, 26)]) for _ in range(rng.randint(60, 400)))
+        assert e.encode([text])[0].tolist() == library.encode_ordinary(text)
