@@ -290,3 +290,26 @@ def test_a_dense_cloud_keeps_k_pairs_each():
     assert sorted(zip(i.tolist(), j.tolist())) == [(0, 1), (0, 2), (0, 3), (1, 0)]  # a tie with the second stays
     best.add(np.array([0]), np.array([1]), np.array([0.5], np.float32))
     assert len(best.cut()[0]) == 4
+
+
+def test_crowded_bands_give_the_same_links(spark):
+    """A third of all texts are versions of one: bands too large for one go are paired block by block, with the same links."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    rows = []
+    for i in range(60):
+        x = list(base) if i < 24 else [f"u{rng.randrange(5000)}" for _ in range(120)]
+        for _ in range(rng.randint(1, 4)):
+            x[rng.randrange(len(x))] = f"v{rng.randrange(9999)}"
+        rows.append((f"k{i:02}", None, " ".join(x)))
+    df = spark.createDataFrame(rows, "id string, title string, text string")
+    plain, _ = V.version_pairs(df, "id", "title", "text")
+    split, _ = V.version_pairs(df, "id", "title", "text", hot=5)
+    got = {tuple(r) for r in split.select("a", "b", "common").collect()}
+    assert got == {tuple(r) for r in plain.select("a", "b", "common").collect()} and len(got) >= 24 * 23 // 2 * 0.95
+
+
+def test_all_copies_on_demand(spark):
+    text = " ".join(f"x{i}" for i in range(80))
+    df = spark.createDataFrame([(f"k{i:03}", None, text) for i in range(70)], "id string, title string, text string")
+    assert V.version_links(df, "id", "title", "text", whole=None).count() == 70 * 69 // 2
