@@ -1,32 +1,34 @@
 """Problem 10: the subject areas of documents, by averaged word and subword embeddings with independent logistic outputs.
 
 The vector of a word is the mean of the embeddings of the word and its character n-grams, that of a sentence the mean of its words;
-each subject has a logistic output of its own. Training sentences carry their document's labels. Every round, each partition takes
-gradient steps on its own sentences, and the changes of all partitions are averaged into the one model (synchronised descent).
-A document is about a subject when at least a given share of its sentences are.
+each subject has a logistic output of its own. Training sentences carry their document's labels. The partitions train in one barrier
+stage: at every step each works out the gradient of its own sentences, all gradients are exchanged and summed, and every partition takes
+the same step of the one model. A document is about a subject when at least a given share of its sentences are.
 """
 
 from __future__ import annotations
 
+import base64
+import json
 import pickle
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.language import sentences
-from tessera.session import cut_lineage, spread
+from tessera.session import spread
 
 BUCKETS, WIDTH = 1 << 16, 12
-#: Documents to fit on, at most, and how many of them a word must occur in; partitions that share the work of a round, rounds,
-#: from which of them on sentences have targets of their own, and gradient steps of a round.
-SAMPLE, LEAST_DOCUMENTS, SHARDS, ROUNDS, REFINE, STEPS = 4000, 3, 8, 10, 5, 8
+#: Documents to fit on, at most, and how many of them a word must occur in; partitions that share the work, steps, from which of them on
+#: sentences have targets of their own, and steps after which these are set anew.
+SAMPLE, LEAST_DOCUMENTS, SHARDS, STEPS, REFINE, ANEW = 4000, 2, 4, 60, 24, 6
 #: Share of a document's sentences that makes it about a subject, and the probability from which a sentence is.
 SHARE, SURE = 0.25, 0.4
 #: Probability from which a training sentence shows a subject.
@@ -75,62 +77,89 @@ def fresh(subjects: int, seed: int = 7) -> Model:
 
 
 class Shard:
-    """Sentences of one partition, ready for gradient steps. Words outside the vocabulary count in a sentence's length, but have no vector."""
+    """Sentences of one partition, ready for gradients. Words outside the vocabulary count in a sentence's length, but have no vector.
+
+    A sentence's logits are the mean of its words' logits, so sentences are summed by subject instead of by dimension, and back.
+    """
 
     def __init__(self, docs: list[list[list[str]]], labels: np.ndarray, vocabulary: set[str]):
         at: dict[str, int] = {w: i for i, w in enumerate(sorted({w for d in docs for s in d for w in s if w in vocabulary}), 1)}
         sents = [s for d in docs for s in d]
-        self.words = np.array([at.get(w, 0) for s in sents for w in s], np.int64)
         self.n = np.array([len(s) for s in sents], np.int64)
+        words = np.array([at.get(w, 0) for s in sents for w in s], np.int64)
+        self.words, self.sent = words[words > 0], np.repeat(np.arange(len(sents)), self.n)[words > 0]
         self.doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
         self.y = labels[self.doc].astype(np.float32) if len(sents) else np.zeros((0, labels.shape[1]), np.float32)
-        f = [[BUCKETS], *(features(w) for w in at)]  # row BUCKETS stays zero
+        f = [features(w) for w in at]
         self.fn = np.array([len(x) for x in f], np.int64)
+        self.word = np.repeat(np.arange(len(f)), self.fn)
         self.used, self.local = np.unique(np.array([b for x in f for b in x], np.int64), return_inverse=True)
+        self.words -= 1
+
+    @staticmethod
+    def _sums(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+        return np.stack([np.bincount(at, rows[:, k], size) for k in range(rows.shape[1])], 1)
 
     def forward(self, e: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        word = np.add.reduceat(e[self.local], np.cumsum(self.fn) - self.fn, axis=0) / self.fn[:, None]
-        sent = np.add.reduceat(word[self.words], np.cumsum(self.n) - self.n, axis=0) / self.n[:, None]
-        return sent, 1 / (1 + np.exp(-(sent @ w + b)))
+        """Vectors of the words, and each sentence's probability of every subject; e holds the rows of `used`."""
+        word = self._sums(self.word, e[self.local], len(self.fn)) / self.fn[:, None]
+        logits = self._sums(self.sent, (word @ w)[self.words], len(self.n)) / self.n[:, None] + b
+        return word, 1 / (1 + np.exp(-logits))
 
-    def targets(self, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    def targets(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What each sentence should say, and what counts, once the model knows something: of a document's subjects those the sentence
         shows, but always those of the quarter of its sentences that show them most; a subject shown against the labels does not count."""
-        _, p = self.forward(m.embedding[self.used], m.output, m.bias)
         y = self.y * (p >= SHOWN)
         n = np.bincount(self.doc, minlength=int(self.doc.max()) + 1)
         first = np.cumsum(n) - n
-        for k in range(p.shape[1]):
-            order = np.lexsort((-p[:, k], self.doc))
-            rank = np.arange(len(order)) - first[self.doc[order]]
-            top = order[rank < np.ceil(SHARE * n[self.doc[order]])]
-            y[top, k] = self.y[top, k]
+        for k in np.flatnonzero(self.y.any(axis=0)):
+            rows = np.flatnonzero(self.y[:, k])
+            order = rows[np.lexsort((-p[rows, k], self.doc[rows]))]
+            starts = np.flatnonzero(np.r_[True, self.doc[order][1:] != self.doc[order][:-1]])
+            rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+            y[order[rank < np.ceil(SHARE * n[self.doc[order]])], k] = 1
         return y, 1.0 - (1 - self.y) * (p >= SHOWN)
 
-    def steps(self, m: Model, steps: int, rate: float, refine: bool, decay: float = 1e-3) -> Model:
-        """Adam on all sentences of the shard, steps times; returns the changed model."""
-        if not len(self.n):
-            return m
-        y, counts = self.targets(m) if refine else (self.y, 1.0)
-        e, w, b = m.embedding[self.used].copy(), m.output.copy(), m.bias.copy()
-        params = [e, w, b]
-        first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        per_word, per_feature = np.repeat(np.arange(len(self.n)), self.n), np.repeat(np.arange(len(self.fn)), self.fn)
-        for t in range(1, steps + 1):
-            sent, p = self.forward(e, w, b)
-            g = (p - y) * counts / len(self.n)
-            gs = (g @ w.T) / self.n[:, None]
-            gw = np.stack([np.bincount(self.words, gs[per_word, k], len(self.fn)) for k in range(WIDTH)], 1) / self.fn[:, None]
-            ge = np.stack([np.bincount(self.local, gw[per_feature, k], len(self.used)) for k in range(WIDTH)], 1)
-            for i, grad in enumerate((ge, sent.T @ g, g.sum(axis=0))):
-                grad = grad.astype(np.float32)
-                first[i] += 0.1 * (grad - first[i])
-                second[i] += 0.01 * (grad * grad - second[i])
-                params[i] -= rate * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.99**t)) + 1e-8) + rate * decay * params[i] * (i < 2)
-            e[self.used == BUCKETS] = 0
-        out = m.embedding.copy()
-        out[self.used] = e
-        return Model(out, w, b)
+    def gradient(self, e: np.ndarray, w: np.ndarray, b: np.ndarray, step: int) -> list[np.ndarray]:
+        """Sums over the sentences of the loss's gradient by e, w and b."""
+        word, p = self.forward(e, w, b)
+        if step == 0:
+            self.goal = (self.y, 1.0)
+        elif step >= REFINE and (step - REFINE) % ANEW == 0:
+            self.goal = self.targets(p)
+        y, counts = self.goal
+        g = (p - y) * counts
+        by_word = self._sums(self.words, (g / self.n[:, None])[self.sent], len(self.fn))
+        return [self._sums(self.local, ((by_word @ w.T) / self.fn[:, None])[self.word], len(self.used)), word.T @ by_word, g.sum(axis=0)]
+
+
+def descend(shard: Shard, subjects: int, exchange: Callable[[bytes], list[bytes]], steps: int = STEPS, rate: float = 0.1, decay: float = 1e-3) -> Model:
+    """The model after `steps` steps of Adam on the sentences of all partitions; exchange(own) gives what every partition gave, in one order."""
+    every = [np.frombuffer(x, np.int64) for x in exchange(shard.used.tobytes())]
+    total = sum(int(x) for x in exchange(str(len(shard.n)).encode())) or 1
+    used = np.unique(np.concatenate(every))
+    places = [np.searchsorted(used, x) for x in every]
+    mine = np.searchsorted(used, shard.used)
+    m = fresh(subjects)
+    params = [np.zeros((len(used), WIDTH)), m.output.astype(np.float64), m.bias.astype(np.float64)]
+    first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
+    for t in range(steps):
+        e, w, b = params
+        own = shard.gradient(e[mine], w, b, t) if len(shard.n) else [np.zeros((0, WIDTH)), np.zeros_like(w), np.zeros_like(b)]
+        sums = [np.zeros_like(x) for x in params]
+        for place, blob in zip(places, exchange(pickle.dumps([x.astype(np.float32) for x in own])), strict=True):
+            ge, gw, gb = pickle.loads(blob)
+            sums[0][place] += ge
+            sums[1] += gw
+            sums[2] += gb
+        now = rate * (1 - 0.9 * t / steps)
+        for i, g in enumerate(sums):
+            g /= total
+            first[i] += 0.1 * (g - first[i])
+            second[i] += 0.01 * (g * g - second[i])
+            params[i] -= now * (first[i] / (1 - 0.9 ** (t + 1))) / (np.sqrt(second[i] / (1 - 0.99 ** (t + 1))) + 1e-8) + now * decay * params[i] * (i < 2)
+    m.embedding[used] = params[0]
+    return Model(m.embedding, params[1].astype(np.float32), params[2].astype(np.float32))
 
 
 def labelled(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, none: str) -> DataFrame:
@@ -143,65 +172,35 @@ def labelled(documents: DataFrame, labels: DataFrame, key: str, text: str, label
     return documents.select(key, text).join(named, key).filter(F.col(text).isNotNull())
 
 
-def train(examples: DataFrame, documents: DataFrame, key: str, text: str, subjects: list[str], sample: int = SAMPLE) -> Model:
-    """The model fitted on at most `sample` documents, those of least hash of their key: labelled ones first; where they are fewer, it
-    labels others itself and is fitted anew on both."""
-    some = cut_lineage(examples.select(key, text, "labels").orderBy(F.xxhash64(key), key).limit(sample))
-    model, n = fit(some, key, text, subjects), some.count()
-    if n == sample:
-        return model
-    rest = documents.select(key, text).filter(F.col(text).isNotNull()).join(examples.select(key), key, "left_anti").orderBy(F.xxhash64(key), key).limit(sample - n)
-    said = subjects_of(rest, key, text, model, subjects).groupBy(key).agg(F.sort_array(F.collect_list("subject")).alias("labels"))
-    more = rest.join(said, key, "left").select(key, text, F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
-    return fit(some.unionByName(more), key, text, subjects)
-
-
-def fit(examples: DataFrame, key: str, text: str, subjects: list[str], rounds: int = ROUNDS, steps: int = STEPS, rate: float = 0.1) -> Model:
-    """The model fitted on all examples (key, text, labels), which the caller bounds."""
-    spark, at = examples.sparkSession, {s: i for i, s in enumerate(subjects)}
-
-    def words(f: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in f:
-            yield pd.DataFrame({"word": [w for t in g[text] for w in {w for s in counted_sentences(t) for w in s}]}, dtype=object)
-
-    some = cut_lineage(examples.withColumn("shard", F.pmod(F.xxhash64(key, F.lit("shard")), F.lit(SHARDS)).cast("int")).repartition(SHARDS, "shard"))
-    common = some.mapInPandas(words, "word string").groupBy("word").count().filter(F.col("count") >= LEAST_DOCUMENTS).select("word").collect()  # bounded by the sample
-    vocabulary = spark.sparkContext.broadcast({r["word"] for r in common})
-
-    def prepare(f: pd.DataFrame) -> pd.DataFrame:
-        y = np.zeros((len(f), len(at)), np.float32)
-        for i, ls in enumerate(f["labels"]):
-            y[i, [at[x] for x in ls if x in at]] = 1
-        return pd.DataFrame({"shard": [pickle.dumps(Shard([counted_sentences(t) for t in f[text]], y, vocabulary.value))]})
-
-    shards = cut_lineage(some.groupBy("shard").applyInPandas(prepare, "shard binary"))
-    model = fresh(len(subjects))
-    for r in range(rounds):
-        sent = spark.sparkContext.broadcast((model.embedding, model.output, model.bias))
-        now, refine = rate * (1 - r / rounds), r >= REFINE
-
-        def change(frames: Iterator[pd.DataFrame], sent=sent, now=now, refine=refine) -> Iterator[pd.DataFrame]:
-            old = Model(*sent.value)
-            for f in frames:
-                for blob in f["shard"]:
-                    shard: Shard = pickle.loads(blob)
-                    new = shard.steps(old, steps, now, refine)
-                    yield pd.DataFrame({"n": [len(shard.n)], "used": [shard.used.astype(np.int32).tobytes()], "embedding": [(new.embedding - old.embedding)[shard.used].tobytes()], "output": [(new.output - old.output).tobytes()], "bias": [(new.bias - old.bias).tobytes()]})
-
-        changes = shards.mapInPandas(change, "n long, used binary, embedding binary, output binary, bias binary").collect()  # a row per shard, of the size of the model
-        total = sum(c["n"] for c in changes) or 1
-        seen, step = np.zeros(BUCKETS + 1), np.zeros((BUCKETS + 1, WIDTH))
-        output, bias = model.output.copy(), model.bias.copy()
-        for c in changes:
-            share, used = c["n"] / total, np.frombuffer(c["used"], np.int32)
-            step[used] += share * np.frombuffer(c["embedding"], np.float32).reshape(-1, WIDTH)
-            seen[used] += share
-            output += share * np.frombuffer(c["output"], np.float32).reshape(output.shape)
-            bias += share * np.frombuffer(c["bias"], np.float32)
-        step /= np.maximum(seen, 1e-9)[:, None]  # over the shards that hold the feature
-        model = Model((model.embedding + step).astype(np.float32), output.astype(np.float32), bias.astype(np.float32))
-        sent.unpersist()
-    return model
+def train(examples: DataFrame, key: str, text: str, subjects: list[str], sample: int = SAMPLE) -> Model:
+    """The model fitted on about `sample` labelled documents (key, text, labels) at most, those of least hash of their key; on all where
+    there are fewer, and in the same way."""
+    spark, at = examples.sparkSession, {x: i for i, x in enumerate(subjects)}
+    n = examples.count()
+    # Chosen by their hash where they lie: none is sorted, or sent to one place.
+    some = examples.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(n, 1)) * (1 << 30))))
+    parts = min(SHARDS, spark.sparkContext.defaultParallelism)
+    rows = some.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), "labels").repartitionById(parts, F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import BarrierTaskContext
+
+        context = BarrierTaskContext.get()
+        exchange = lambda own: [base64.b64decode(x) for x in context.allGather(base64.b64encode(own).decode())]
+        held = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        docs = [counted_sentences(t) for _, t, _ in held]
+        y = np.zeros((len(held), len(at)), np.float32)
+        for i, (_, _, labels) in enumerate(held):
+            y[i, [at[x] for x in labels if x in at]] = 1
+        own = Counter(w for d in docs for w in {w for s in d for w in s})
+        counts = Counter()
+        for x in exchange(json.dumps(own).encode()):
+            counts.update(json.loads(x))
+        model = descend(Shard(docs, y, {w for w, c in counts.items() if c >= LEAST_DOCUMENTS}), len(at), exchange)
+        if context.partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return pickle.loads(rows.mapInArrow(work, "model binary", barrier=True).first()["model"])
 
 
 class Scorer:
