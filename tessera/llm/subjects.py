@@ -1,15 +1,13 @@
 """Problem 10: the subject areas of documents, by averaged word and subword embeddings with independent logistic outputs.
 
 The vector of a word is the mean of the embeddings of the word and its character n-grams, that of a sentence the mean of its words;
-each subject has a logistic output of its own. Training sentences carry their document's labels. The partitions train in one barrier
-stage: at every step each works out the gradient of its own sentences, all gradients are exchanged and summed, and every partition takes
-the same step of the one model. A document is about a subject when at least a given share of its sentences are.
+each subject has a logistic output of its own. Training sentences carry their document's labels. At every step each partition works out
+the gradient of its own sentences; the sum of all is the step of the one model. A document is about a subject when at least a given share
+of its sentences are.
 """
 
 from __future__ import annotations
 
-import base64
-import json
 import pickle
 import re
 import zlib
@@ -23,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.language import sentences
-from tessera.session import spread
+from tessera.session import cut_lineage, spread
 
 BUCKETS, WIDTH = 1 << 16, 12
-#: Documents to fit on, at most, and how many of them a word must occur in; partitions that share the work, steps, from which of them on
-#: sentences have targets of their own, and steps after which these are set anew.
-SAMPLE, LEAST_DOCUMENTS, SHARDS, STEPS, REFINE, ANEW = 4000, 2, 4, 60, 24, 6
+#: Documents to fit on, at most, and how many of them a word must occur in; partitions that share the work, steps, and from which of them
+#: on sentences have targets of their own.
+SAMPLE, LEAST_DOCUMENTS, SHARDS, STEPS, REFINE = 4000, 2, 4, 30, 12
 #: Share of a document's sentences that makes it about a subject, and the probability from which a sentence is.
 SHARE, SURE = 0.25, 0.4
 #: Probability from which a training sentence shows a subject.
@@ -123,43 +121,32 @@ class Shard:
     def gradient(self, e: np.ndarray, w: np.ndarray, b: np.ndarray, step: int) -> list[np.ndarray]:
         """Sums over the sentences of the loss's gradient by e, w and b."""
         word, p = self.forward(e, w, b)
-        if step == 0:
-            self.goal = (self.y, 1.0)
-        elif step >= REFINE and (step - REFINE) % ANEW == 0:
-            self.goal = self.targets(p)
-        y, counts = self.goal
+        y, counts = self.targets(p) if step >= REFINE else (self.y, 1.0)
         g = (p - y) * counts
         by_word = self._sums(self.words, (g / self.n[:, None])[self.sent], len(self.fn))
         return [self._sums(self.local, ((by_word @ w.T) / self.fn[:, None])[self.word], len(self.used)), word.T @ by_word, g.sum(axis=0)]
 
 
-def descend(shard: Shard, subjects: int, exchange: Callable[[bytes], list[bytes]], steps: int = STEPS, rate: float = 0.1, decay: float = 1e-3) -> Model:
-    """The model after `steps` steps of Adam on the sentences of all partitions; exchange(own) gives what every partition gave, in one order."""
-    every = [np.frombuffer(x, np.int64) for x in exchange(shard.used.tobytes())]
-    total = sum(int(x) for x in exchange(str(len(shard.n)).encode())) or 1
-    used = np.unique(np.concatenate(every))
-    places = [np.searchsorted(used, x) for x in every]
-    mine = np.searchsorted(used, shard.used)
-    m = fresh(subjects)
-    params = [np.zeros((len(used), WIDTH)), m.output.astype(np.float64), m.bias.astype(np.float64)]
+def descend(used: list[np.ndarray], sentences: int, subjects: int, gradients: Callable[[Model, int], list[list[np.ndarray]]], steps: int = STEPS, rate: float = 0.3, decay: float = 1e-3) -> Model:
+    """The model after `steps` steps of Adam on the sum of the shards' gradients, in the order of the shards; used are the features of each."""
+    m, rows = fresh(subjects), np.unique(np.concatenate([*used, np.array([], np.int64)]))
+    places = [np.searchsorted(rows, x) for x in used]
+    params = [np.zeros((len(rows), WIDTH)), m.output.astype(np.float64), m.bias.astype(np.float64)]
     first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
     for t in range(steps):
-        e, w, b = params
-        own = shard.gradient(e[mine], w, b, t) if len(shard.n) else [np.zeros((0, WIDTH)), np.zeros_like(w), np.zeros_like(b)]
         sums = [np.zeros_like(x) for x in params]
-        for place, blob in zip(places, exchange(pickle.dumps([x.astype(np.float32) for x in own])), strict=True):
-            ge, gw, gb = pickle.loads(blob)
+        for place, (ge, gw, gb) in zip(places, gradients(m, t), strict=True):
             sums[0][place] += ge
             sums[1] += gw
             sums[2] += gb
         now = rate * (1 - 0.9 * t / steps)
         for i, g in enumerate(sums):
-            g /= total
+            g /= max(sentences, 1)
             first[i] += 0.1 * (g - first[i])
             second[i] += 0.01 * (g * g - second[i])
             params[i] -= now * (first[i] / (1 - 0.9 ** (t + 1))) / (np.sqrt(second[i] / (1 - 0.99 ** (t + 1))) + 1e-8) + now * decay * params[i] * (i < 2)
-    m.embedding[used] = params[0]
-    return Model(m.embedding, params[1].astype(np.float32), params[2].astype(np.float32))
+        m.embedding[rows], m.output, m.bias = params[0], params[1].astype(np.float32), params[2].astype(np.float32)
+    return m
 
 
 def labelled(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, none: str) -> DataFrame:
@@ -179,28 +166,43 @@ def train(examples: DataFrame, key: str, text: str, subjects: list[str], sample:
     n = examples.count()
     # Chosen by their hash where they lie: none is sorted, or sent to one place.
     some = examples.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(n, 1)) * (1 << 30))))
-    parts = min(SHARDS, spark.sparkContext.defaultParallelism)
-    rows = some.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), "labels").repartitionById(parts, F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+    rows = cut_lineage(some.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), "labels").repartitionById(SHARDS, F.pmod(F.xxhash64("key"), F.lit(SHARDS)).cast("int")))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import BarrierTaskContext
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Counter(w for b in batches for t in b.column(1).to_pylist() for w in {w for s in counted_sentences(t) for w in s})
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["word", "n"])
 
-        context = BarrierTaskContext.get()
-        exchange = lambda own: [base64.b64decode(x) for x in context.allGather(base64.b64encode(own).decode())]
+    common = rows.mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_DOCUMENTS).select("word").collect()  # bounded by the sample
+    vocabulary = spark.sparkContext.broadcast({r["word"] for r in common})
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        docs = [counted_sentences(t) for _, t, _ in held]
         y = np.zeros((len(held), len(at)), np.float32)
         for i, (_, _, labels) in enumerate(held):
             y[i, [at[x] for x in labels if x in at]] = 1
-        own = Counter(w for d in docs for w in {w for s in d for w in s})
-        counts = Counter()
-        for x in exchange(json.dumps(own).encode()):
-            counts.update(json.loads(x))
-        model = descend(Shard(docs, y, {w for w, c in counts.items() if c >= LEAST_DOCUMENTS}), len(at), exchange)
-        if context.partitionId() == 0:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
-
-    return pickle.loads(rows.mapInArrow(work, "model binary", barrier=True).first()["model"])
+        shard = Shard([counted_sentences(t) for _, t, _ in held], y, vocabulary.value)
+        if len(shard.n):
+            yield pa.RecordBatch.from_arrays([pa.array([held[0][0]]), pa.array([pickle.dumps(shard)], pa.binary()), pa.array([shard.used.tobytes()], pa.binary()), pa.array([len(shard.n)], pa.int64())], names=["first", "shard", "used", "n"])
+
+    shards = cut_lineage(rows.mapInArrow(prepare, "first string, shard binary, used binary, n long"))
+    known = sorted(shards.select("first", "used", "n").collect())  # a row per shard
+
+    def gradients(model: Model, step: int) -> list[list[np.ndarray]]:
+        sent = spark.sparkContext.broadcast((model.embedding, model.output, model.bias))
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            e, w, b = sent.value
+            for batch in batches:
+                for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    shard: Shard = pickle.loads(blob)
+                    g = pickle.dumps([x.astype(np.float32) for x in shard.gradient(e[shard.used], w, b, step)])
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([g], pa.binary())], names=["first", "g"])
+
+        out = sorted(shards.select("first", "shard").mapInArrow(work, "first string, g binary").collect())  # a row per shard, of the size of the model
+        sent.unpersist()
+        return [pickle.loads(r["g"]) for r in out]
+
+    return descend([np.frombuffer(r["used"], np.int64) for r in known], sum(r["n"] for r in known), len(subjects), gradients)
 
 
 class Scorer:
