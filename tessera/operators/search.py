@@ -178,20 +178,21 @@ def snippets(text: Column, wanted: Sequence[Phrase], width: int = 12) -> Column:
     return cut(text)
 
 
-def dot(vector: Column, query: Column) -> Column:
-    """Dot product over the shorter length, in double precision, by whole Arrow batches."""
+#: Numbers of a vector up to which a dot product is one generated expression; beyond, it is worked out in Arrow batches.
+UNROLLED = 256
+
+
+def dot(vector: Column, asked: Sequence[float]) -> Column:
+    """Dot product with a known vector, over the shorter length, in double precision; null and NaN numbers stay what they are."""
+    if len(asked) <= UNROLLED:
+        return sum((F.coalesce(F.get(vector, F.lit(i)).cast("double"), F.when(F.size(vector) <= i, 0.0)) * F.lit(float(x)) for i, x in enumerate(asked)), F.lit(0.0))
+    q = np.asarray(asked, dtype=np.float64)
 
     @F.pandas_udf(T.DoubleType())
-    def product(v: pd.Series, q: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=float)
-        asked = np.asarray(q.iloc[0], dtype=np.float64)
-        lengths = np.array([len(x) for x in v])
-        if (lengths == len(asked)).all():
-            return pd.Series(np.stack(v.to_numpy()).astype(np.float64) @ asked, index=v.index)
-        return pd.Series([float(np.dot(np.asarray(x, dtype=np.float64)[: len(asked)], asked[: len(x)])) for x in v], index=v.index)
+    def product(v: pd.Series) -> pd.Series:
+        return pd.Series([float(np.dot(np.asarray(x, dtype=np.float64)[: len(q)], q[: len(x)])) for x in v], index=v.index)
 
-    return product(vector, query)
+    return product(vector)
 
 
 def usable_vector(v: Column, dim: int) -> Column:
@@ -205,19 +206,62 @@ def nearest_units(vectors: DataFrame, query: DataFrame, k: int | None, unit: str
 
     With `by`, the query is a frame of any number of vectors (columns by and q): (by, unit, score), the k best for each value of by.
     """
-    rows = vectors.filter(usable_vector(F.col("vector"), dim))
+    rows = vectors.filter(F.col("vector").isNotNull() & (F.size("vector") == dim))
     if readable is not None:
         rows = rows.join(readable, "asset_id", "left_semi")
     if by is not None:
-        scored = rows.crossJoin(query.select(by, "q")).select(by, unit, dot(F.col("vector"), F.col("q")).alias("score"))
-        best = scored.groupBy(by, unit).agg(F.max("score").alias("score")).withColumn("score", F.round("score", 6))
-        r = F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), unit))
-        return best.withColumn("_r", r).filter(F.col("_r") <= k).drop("_r") if k else best
-    scored = rows.crossJoin(F.broadcast(query.limit(1))).select(unit, dot(F.col("vector"), F.col("q")).alias("score"))
+        return _nearest_of_many(rows, query.select(by, "q"), k, unit, dim, by)
+    asked = query.limit(1).collect()  # the one vector asked about
+    if not asked:
+        return rows.select(unit, F.lit(0.0).alias("score")).limit(0)
+    # A vector with a null or NaN in it has no score.
+    scored = rows.select(unit, dot(F.col("vector"), asked[0]["q"]).alias("score")).filter(F.col("score").isNotNull() & ~F.isnan("score"))
     best = scored.groupBy(unit).agg(F.max("score").alias("score"))
     return top(best, k, unit) if k else best.withColumn("score", F.round("score", 6))
 
 
+def _nearest_of_many(rows: DataFrame, query: DataFrame, k: int | None, unit: str, dim: int, by: str, block: int = 4096) -> DataFrame:
+    """The k best units for each of many query vectors. Queries go in blocks over all vectors, each block as one matrix, and every task
+    keeps the k best of its own units per query: no pair leaves a task that can't be among the best. Queries without NaN, of the right length."""
+    kinds, session = dict(query.dtypes) | dict(rows.dtypes), rows.sparkSession
+    asked = query.filter(usable_vector(F.col("q"), dim))
+    blocks = asked.withColumn("_b", F.pmod(F.xxhash64(by), F.lit(max(1, -(-asked.count() // block)))))
+    numbers = [r["_b"] for r in blocks.select("_b").distinct().collect()]  # one per 4,096 queries
+    out = None
+    for b in sorted(numbers):
+        some = blocks.filter(F.col("_b") == b).select(by, "q").toPandas()  # a block, some MB
+        sent = session.sparkContext.broadcast((some[by].to_numpy(), np.stack(some["q"].to_numpy()).astype(np.float64)))
+
+        def best(frames, sent=sent):
+            names, q = sent.value
+            for f in frames:
+                x = np.stack(f["vector"].to_numpy()).astype(np.float64)
+                ok = np.isfinite(x).all(axis=1)
+                x, units = x[ok], f[unit].to_numpy()[ok]
+                if not len(x):
+                    continue
+                s = np.round(q @ x.T, 6)
+                if k and s.shape[1] > 4 * k:  # of a unit's several vectors only the best counts, so ties and doubles stay for later
+                    order, first = np.unique(units, return_inverse=True)
+                    m = np.full((len(q), len(order)), -np.inf)
+                    for j in range(s.shape[1]):
+                        np.maximum(m[:, first[j]], s[:, j], out=m[:, first[j]])
+                    kth = np.partition(m, max(m.shape[1] - k, 0), axis=1)[:, max(m.shape[1] - k, 0)]
+                    i, j = np.nonzero(m >= kth[:, None])
+                    yield pd.DataFrame({by: names[i], unit: order[j], "score": m[i, j]})
+                else:
+                    i, j = np.indices(s.shape).reshape(2, -1)
+                    yield pd.DataFrame({by: names[i], unit: units[j], "score": s[i, j]})
+
+        part = rows.select(unit, "vector").filter(~F.exists("vector", lambda v: v.isNull())).mapInPandas(best, f"`{by}` {kinds[by]}, `{unit}` {kinds[unit]}, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return rows.select(F.lit(None).cast(kinds[by]).alias(by), unit, F.lit(0.0).alias("score")).limit(0)
+    best_of = out.groupBy(by, unit).agg(F.max("score").alias("score"))
+    r = F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), unit))
+    return best_of.withColumn("_r", r).filter(F.col("_r") <= k).drop("_r") if k else best_of
+
+
 def ranked(leg: DataFrame, name: str, position: int, k: int, key: str = "unit_id") -> DataFrame:
     """(key, leg, leg_pos, rank0) of the k best of a leg."""
     r = F.row_number().over(W.orderBy(F.desc("score"), key)) - 1  # over k rows, after the cut
@@ -237,9 +281,12 @@ def source_label(legs: Column) -> Column:
     return F.when(fts & semantic, "hybrid").when(fts, "fts").otherwise("semantic")
 
 
-def hybrid(spec: QuerySpec, units: DataFrame, assets: DataFrame, translations: DataFrame, vectors: DataFrame, query: DataFrame | None, readable: DataFrame | None = None) -> DataFrame:
+def hybrid(spec: QuerySpec, units: DataFrame, assets: DataFrame, translations: DataFrame, vectors: DataFrame, query: DataFrame | None, readable: DataFrame | None = None, text_index=None, translation_index=None) -> DataFrame:
     """Hybrid search: full text, translations and vectors, fused; filters below every leg's cut, hydration after the last one.
 
+    With an index of the units, and one of the translations by unit_id and lang with \\u0001 between, only the asked tokens' postings are
+    read; without, the texts are. Vectors outside the filters are not scored.
+
     units (id, asset_id, title, text, file_name), assets (id, path, mtime_ms, kind), translations (unit_id, title, text), vectors
     (unit_id, asset_id, vector), query (one row, q), readable (asset_id). With scope filename only full text is used, and a file counts once.
     """
@@ -254,20 +301,22 @@ def hybrid(spec: QuerySpec, units: DataFrame, assets: DataFrame, translations: D
     allowed = u.select("unit_id", "asset_id").join(a.select("asset_id"), "asset_id", "left_semi").select("unit_id")
     wanted = phrases(spec.text, spec.scope, spec.compat, spec.prefix)
     size, legs = spec.size, []
-    depth = size * 4 if spec.scope == "filename" else size
     if spec.mode in ("hybrid", "fts") or spec.scope == "filename":
-        legs.append(ranked(match(index(u, "unit_id"), wanted, "unit_id").join(allowed, "unit_id", "left_semi"), "fts", 0, depth))
+        hits = text_index.match(wanted).withColumnRenamed("key", "unit_id") if text_index else match(index(u, "unit_id"), wanted, "unit_id")
+        hits = hits.join(allowed, "unit_id", "left_semi")
+        if spec.scope == "filename":  # a file's best unit is chosen ahead of the cut, so many units of one file push no other out
+            r = F.row_number().over(W.partitionBy("asset_id").orderBy(F.desc(F.round("score", 6)), "unit_id"))
+            hits = hits.join(u.select("unit_id", "asset_id"), "unit_id").withColumn("_r", r).filter("_r = 1").select("unit_id", "score")
+        legs.append(ranked(hits, "fts", 0, size))
         if spec.scope != "filename":
-            tr = index(translations.withColumn("tr", F.concat_ws("\u0001", "unit_id", "lang")), "tr", ("title", "text"))
-            hits = match(tr, [Phrase(p.tokens, p.prefix, ("title", "text")) for p in wanted], "tr").groupBy(F.substring_index("tr", "\u0001", 1).alias("unit_id")).agg(F.max("score").alias("score"))
+            within = [Phrase(p.tokens, p.prefix, ("title", "text")) for p in wanted]
+            tr = translation_index.match(within).withColumnRenamed("key", "tr") if translation_index else match(index(translations.withColumn("tr", F.concat_ws("\u0001", "unit_id", "lang")), "tr", ("title", "text")), within, "tr")
+            hits = tr.groupBy(F.substring_index("tr", "\u0001", 1).alias("unit_id")).agg(F.max("score").alias("score"))
             legs.append(ranked(hits.join(allowed, "unit_id", "left_semi"), "translation", 1, size))
     if spec.mode in ("hybrid", "semantic") and spec.scope != "filename" and query is not None:
-        legs.append(ranked(nearest_units(vectors, query, None).join(allowed, "unit_id", "left_semi"), "semantic", 2, size))
+        legs.append(ranked(nearest_units(vectors.join(allowed, "unit_id", "left_semi"), query, None), "semantic", 2, size))
     fused = fuse(legs)
     rows = fused.join(u.select("unit_id", "asset_id", "file_name"), "unit_id").join(a, "asset_id")
-    if spec.scope == "filename":
-        one = W.partitionBy("asset_id").orderBy(F.desc("score"), "unit_id")
-        rows = rows.withColumn("_r", F.row_number().over(one)).filter("_r = 1").drop("_r")
     order = [F.desc("score"), F.col("first_leg"), F.col("first_rank"), F.col("unit_id")]
     if spec.sort == "mtime":
         m = F.coalesce("mtime_ms", F.lit(-1))
@@ -276,6 +325,21 @@ def hybrid(spec: QuerySpec, units: DataFrame, assets: DataFrame, translations: D
     return out.select("unit_id", "asset_id", "file_name", dirname(F.col("path")).alias("dir_path"), "score", source_label(F.col("legs")).alias("source"), F.array_join("legs", ",").alias("legs"))
 
 
+def with_snippets(hits: DataFrame, units: DataFrame, translations: DataFrame, wanted: Sequence[Phrase]) -> DataFrame:
+    """Hits (unit_id, legs) with a snippet: that of the translation that matches best where one does, without its marks; else that of the
+    text where it matched; else its first 200 characters. Only the hits' own texts are read into it."""
+    u = units.select(F.col("id").alias("unit_id"), "text").dropDuplicates(["unit_id"])
+    within = [Phrase(p.tokens, p.prefix, ("title", "text")) for p in wanted]
+    of_hits = translations.join(hits.select("unit_id"), "unit_id", "left_semi").withColumn("tr", F.concat_ws("\u0001", "unit_id", F.coalesce("lang", F.lit(""))))
+    found = match(index(of_hits, "tr", ("title", "text")), within, "tr")
+    best = of_hits.select("tr", "unit_id", F.col("text").alias("t")).dropDuplicates(["tr"]).join(found, "tr").groupBy("unit_id").agg(F.max_by("t", F.struct("score", "tr")).alias("t"))
+    from tessera.functions.text import plain_snippet
+
+    out = hits.join(u, "unit_id", "left").join(best, "unit_id", "left")
+    shown = F.when(F.col("t").isNotNull(), plain_snippet(snippets(F.col("t"), within))).when(F.contains("legs", F.lit("fts")), snippets(F.col("text"), wanted)).otherwise(F.left(F.coalesce("text", F.lit("")), F.lit(200)))
+    return out.select(*[F.col(c) for c in hits.columns], shown.alias("snippet"))
+
+
 def hydrate(ids: DataFrame, units: DataFrame, key: str = "unit_id") -> DataFrame:
     """Hits with the first 200 characters of their text as snippet, for those without one of their own."""
     u = units.select(F.col("id").alias(key), "title", F.left(F.coalesce("text", F.lit("")), F.lit(200)).alias("snippet")).distinct()

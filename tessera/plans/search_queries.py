@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import ACCENTED, FOLDED, dirname
-from tessera.operators import folds, search
+from tessera.operators import folds, inverted, search
 from tessera.operators.search import Phrase, QuerySpec
 from tessera.plans.registry import query
 from tessera.session import table
@@ -35,9 +37,20 @@ def ranked_sql(inner: str, k: int, key: str = "id") -> str:
     return f"SELECT {key}, round(score, 6) AS score FROM ({inner}) ORDER BY round(score, 6) DESC, {key} LIMIT {k}"
 
 
+def text_index(s: SparkSession, d: str) -> inverted.Index:
+    """The persisted index of the units."""
+    return inverted.shared_index(s, f"{d}/content_units.parquet", "units", T(s, d, "content_units"), "id", "asset_id", search.COLUMNS)
+
+
+def translation_index(s: SparkSession, d: str) -> inverted.Index:
+    """The persisted index of the translations, by unit and number."""
+    rows = T(s, d, "unit_translations").withColumn("tr", F.concat_ws("\u0001", "unit_id", F.col("tr_id").cast("string")))
+    return inverted.shared_index(s, f"{d}/unit_translations.parquet", "translations", rows, "tr", "asset_id", ("title", "text"))
+
+
 def fts(name: str, text: str, k: int = 20, scope: str = "everywhere", compat: bool = False, prefix: bool = False) -> None:
     wanted = search.phrases(text, scope, compat, prefix)
-    query(name, ranked_sql(match_sql(wanted), k))(lambda s, d: search.top(search.match(search.index(T(s, d, "content_units")), wanted), k))
+    query(name, ranked_sql(match_sql(wanted), k))(lambda s, d: search.top(text_index(s, d).match(wanted).withColumnRenamed("key", "id"), k))
 
 
 fts("fts_term", "glacier")
@@ -60,18 +73,17 @@ _TR_WANTED = [Phrase(("survey",), False, ("title", "text")), Phrase(("margin",),
 
 @query("fts_translation", ranked_sql(match_sql(_TR_WANTED, _TR, ("title", "text")), 20))
 def fts_translation(s: SparkSession, d: str) -> DataFrame:
-    rows = T(s, d, "unit_translations").select(F.concat_ws(" ", "unit_id", F.col("tr_id").cast("string")).alias("id"), "title", "text")
-    return search.top(search.match(search.index(rows, "id", ("title", "text")), _TR_WANTED), 20)
+    return search.top(translation_index(s, d).match(_TR_WANTED).select(F.translate("key", "\u0001", " ").alias("id"), "score"), 20)
 
 
 @query("index_statistics", f"WITH u AS (SELECT DISTINCT id, title, text, file_name FROM content_units), l AS (SELECT id, len({TOKENS.replace('{c}', 'title')}) + len({TOKENS.replace('{c}', 'text')}) + len({TOKENS.replace('{c}', 'file_name')}) AS dl FROM u) SELECT count(*) AS units, sum(dl)::BIGINT AS tokens, max(dl)::BIGINT AS longest FROM l")
 def index_statistics(s: SparkSession, d: str) -> DataFrame:
-    return search.index(T(s, d, "content_units")).agg(F.count("*").alias("units"), F.sum("dl").alias("tokens"), F.max("dl").cast("long").alias("longest"))
+    return text_index(s, d).lengths().agg(F.count("*").alias("units"), F.sum("dl").alias("tokens"), F.max("dl").cast("long").alias("longest"))
 
 
 @query("document_frequencies", f"WITH u AS (SELECT DISTINCT id, title, text, file_name FROM content_units), p AS (SELECT DISTINCT id, unnest(list_concat({TOKENS.replace('{c}', 'title')}, {TOKENS.replace('{c}', 'text')}, {TOKENS.replace('{c}', 'file_name')})) AS token FROM u) SELECT token, count(*) AS df FROM p GROUP BY token")
 def document_frequencies(s: SparkSession, d: str) -> DataFrame:
-    return search.postings(T(s, d, "content_units")).groupBy("token").agg(F.count_distinct("id").alias("df"))
+    return text_index(s, d).all_postings().groupBy("token").agg(F.count_distinct("key").alias("df"))
 
 
 @query("fts_linkage", "SELECT count(DISTINCT id) AS units, count(DISTINCT CASE WHEN dl > 0 THEN id END) AS linked, count(DISTINCT id) = count(DISTINCT CASE WHEN dl > 0 THEN id END) AS consistent FROM (SELECT id, " + " + ".join(f"len({TOKENS.replace('{c}', c)})" for c in search.COLUMNS) + " AS dl FROM content_units)")
@@ -79,7 +91,7 @@ def fts_linkage(s: SparkSession, d: str) -> DataFrame:
     from tessera.operators.pipeline import linkage
 
     units = T(s, d, "content_units")
-    return linkage(search.index(units).filter("dl > 0").select(F.col("id").alias("unit_id")), units)
+    return linkage(text_index(s, d).lengths().filter("dl > 0").select(F.col("key").alias("unit_id")), units)
 
 
 @query("fts_snippet")
@@ -87,7 +99,7 @@ def fts_snippet(s: SparkSession, d: str) -> DataFrame:
     """Snippets of the best hits; their choice of window has no SQL."""
     wanted = search.phrases("glacier telescope")
     units = T(s, d, "content_units")
-    hits = search.top(search.match(search.index(units), wanted), 20)
+    hits = search.top(text_index(s, d).match(wanted).withColumnRenamed("key", "id"), 20)
     return hits.join(units.select("id", "text").distinct(), "id").select("id", "score", search.snippets(F.col("text"), wanted).alias("snippet"))
 
 
@@ -127,7 +139,7 @@ def vector_topk_readable(s: SparkSession, d: str) -> DataFrame:
 def legs_sql(k: int, where: str = "TRUE", wanted: list[Phrase] | None = None) -> str:
     """The three ranked legs, cut to k after the filter on units."""
     wanted = wanted or search.phrases("glacier telescope")
-    tr = match_sql([Phrase(p.tokens, p.prefix, ("title", "text")) for p in wanted], "(SELECT DISTINCT unit_id || chr(1) || coalesce(lang, '') AS id, title, text FROM unit_translations)", ("title", "text"))
+    tr = match_sql([Phrase(p.tokens, p.prefix, ("title", "text")) for p in wanted], "(SELECT DISTINCT unit_id || chr(1) || tr_id AS id, title, text FROM unit_translations)", ("title", "text"))
     ok = f"(SELECT u.id AS unit_id FROM content_units u JOIN assets a ON a.id = u.asset_id WHERE {where} GROUP BY u.id)"
     leg = lambda name, pos, inner: f"SELECT unit_id, '{name}' AS leg, {pos} AS leg_pos, row_number() OVER (ORDER BY round(score, 6) DESC, unit_id) - 1 AS rank0 FROM ({inner}) SEMI JOIN {ok} k USING (unit_id) QUALIFY rank0 < {k}"
     return " UNION ALL ".join([leg("fts", 0, f"SELECT id AS unit_id, score FROM ({match_sql(wanted)})"), leg("translation", 1, f"SELECT string_split(id, chr(1))[1] AS unit_id, max(score) AS score FROM ({tr}) GROUP BY 1"), leg("semantic", 2, _SIMILAR.format(v=_VECTORS))])
@@ -143,8 +155,8 @@ ORDER BY {order} LIMIT {k}"""
 
 
 def run_hybrid(s: SparkSession, d: str, spec: QuerySpec) -> DataFrame:
-    translations = T(s, d, "unit_translations").select("unit_id", F.coalesce("lang", F.lit("")).alias("lang"), "title", "text")
-    return search.hybrid(spec, T(s, d, "content_units"), T(s, d, "assets"), translations, all_vectors(s, d), asked(s, d))
+    translations = T(s, d, "unit_translations").select("unit_id", F.col("tr_id").cast("string").alias("lang"), "title", "text")
+    return search.hybrid(spec, T(s, d, "content_units"), T(s, d, "assets"), translations, all_vectors(s, d), asked(s, d), None, text_index(s, d), translation_index(s, d))
 
 
 @query("hybrid_search", hybrid_sql(30, "score DESC, first_leg, first_rank, f.unit_id"))
@@ -165,10 +177,9 @@ def hybrid_filtered(s: SparkSession, d: str) -> DataFrame:
 @query("rrf_merge", f"SELECT unit_id, round(sum(1.0::DOUBLE / (61 + rank0)), 9) AS score, count(*) AS legs FROM ({legs_sql(40)}) GROUP BY unit_id")
 def rrf_merge(s: SparkSession, d: str) -> DataFrame:
     units, wanted = T(s, d, "content_units"), search.phrases("glacier telescope")
-    tr = T(s, d, "unit_translations").select(F.concat_ws("\u0001", "unit_id", F.coalesce("lang", F.lit(""))).alias("tr"), "title", "text")
     ok = units.join(T(s, d, "assets").select(F.col("id").alias("asset_id")), "asset_id", "left_semi").select(F.col("id").alias("unit_id"))
-    translated = search.match(search.index(tr, "tr", ("title", "text")), [Phrase(p.tokens, p.prefix, ("title", "text")) for p in wanted], "tr").groupBy(F.substring_index("tr", "\u0001", 1).alias("unit_id")).agg(F.max("score").alias("score"))
-    legs = [search.match(search.index(units), wanted).withColumnRenamed("id", "unit_id"), translated, search.nearest_units(all_vectors(s, d), asked(s, d), None)]
+    translated = translation_index(s, d).match([Phrase(p.tokens, p.prefix, ("title", "text")) for p in wanted]).groupBy(F.substring_index("key", "\u0001", 1).alias("unit_id")).agg(F.max("score").alias("score"))
+    legs = [text_index(s, d).match(wanted).withColumnRenamed("key", "unit_id"), translated, search.nearest_units(all_vectors(s, d), asked(s, d), None)]
     out = search.fuse([search.ranked(x.join(ok, "unit_id", "left_semi"), n, i, 40) for i, (n, x) in enumerate(zip(("fts", "translation", "semantic"), legs, strict=True))])
     return out.select("unit_id", "score", F.size("legs").cast("long").alias("legs"))
 
@@ -179,7 +190,7 @@ def filename_dedup(s: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     units = T(s, d, "content_units")
-    hits = search.match(search.index(units), search.phrases("window", "filename")).withColumn("score", F.round("score", 6)).join(units.select("id", "asset_id").distinct(), "id")
+    hits = text_index(s, d).match(search.phrases("window", "filename")).withColumnRenamed("key", "id").withColumn("score", F.round("score", 6)).join(units.select("id", "asset_id").distinct(), "id")
     r = F.row_number().over(W.partitionBy("asset_id").orderBy(F.desc("score"), "id"))
     return hits.withColumn("r", r).filter("r = 1").select("asset_id", F.col("id").alias("unit_id"), "score")
 
@@ -195,9 +206,8 @@ def suggest_interleave(s: SparkSession, d: str) -> DataFrame:
     """As-you-type suggestions for a prefix."""
     units = T(s, d, "content_units")
     wanted = search.phrases("glac", prefix=True)
-    own = search.ranked(search.match(search.index(units), wanted).withColumnRenamed("id", "unit_id"), "fts", 0, 20)
-    tr = T(s, d, "unit_translations").select(F.concat_ws("\u0001", "unit_id", F.coalesce("lang", F.lit(""))).alias("tr"), "title", "text")
-    hits = search.match(search.index(tr, "tr", ("title", "text")), [Phrase(p.tokens, p.prefix, ("title", "text")) for p in wanted], "tr").groupBy(F.substring_index("tr", "\u0001", 1).alias("unit_id")).agg(F.max("score").alias("score"))
+    own = search.ranked(text_index(s, d).match(wanted).withColumnRenamed("key", "unit_id"), "fts", 0, 20)
+    hits = translation_index(s, d).match([Phrase(p.tokens, p.prefix, ("title", "text")) for p in wanted]).groupBy(F.substring_index("key", "\u0001", 1).alias("unit_id")).agg(F.max("score").alias("score"))
     of = units.select(F.col("id").alias("unit_id"), "asset_id").distinct()
     return folds.interleave(own.join(of, "unit_id"), search.ranked(hits, "translation", 1, 10).join(of, "unit_id"))
 
@@ -214,7 +224,7 @@ _CONTEXT = match_sql(search.phrases("glacier telescope"))
 @query("rag_context", f"SELECT string_agg('[' || r || '] ' || coalesce(title, '') || chr(10) || left(coalesce(text, ''), 600), chr(10) || chr(10) ORDER BY r) AS context FROM (SELECT h.id, u.title, u.text, row_number() OVER (ORDER BY round(h.score, 6) DESC, h.id) AS r FROM ({_CONTEXT}) h JOIN (SELECT DISTINCT id, title, text FROM content_units) u ON u.id = h.id) WHERE r <= 12")
 def rag_context(s: SparkSession, d: str) -> DataFrame:
     units = T(s, d, "content_units")
-    hits = search.ranked(search.match(search.index(units), search.phrases("glacier telescope")).withColumnRenamed("id", "unit_id"), "fts", 0, 12)
+    hits = search.ranked(text_index(s, d).match(search.phrases("glacier telescope")).withColumnRenamed("key", "unit_id"), "fts", 0, 12)
     return folds.context_block(hits.join(units.select(F.col("id").alias("unit_id"), "title", "text").distinct(), "unit_id"), "rank0", "title", "text", 600, 12)
 
 
@@ -251,7 +261,7 @@ def deep_read_context(s: SparkSession, d: str) -> DataFrame:
 @query("hit_kinds", f"SELECT a.kind, count(*) AS n FROM ({match_sql(search.phrases('glacier'))}) h JOIN (SELECT DISTINCT id, asset_id FROM content_units) u ON u.id = h.id JOIN (SELECT DISTINCT id, kind FROM assets) a ON a.id = u.asset_id GROUP BY a.kind")
 def hit_kinds(s: SparkSession, d: str) -> DataFrame:
     units = T(s, d, "content_units")
-    hits = search.match(search.index(units), search.phrases("glacier")).join(units.select("id", "asset_id").distinct(), "id")
+    hits = text_index(s, d).match(search.phrases("glacier")).withColumnRenamed("key", "id").join(units.select("id", "asset_id").distinct(), "id")
     return hits.join(T(s, d, "assets").select(F.col("id").alias("asset_id"), "kind").distinct(), "asset_id").groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -259,3 +269,60 @@ def hit_kinds(s: SparkSession, d: str) -> DataFrame:
 def snippet_parts(s: SparkSession, d: str) -> DataFrame:
     """The pieces of the snippets of fts_snippet."""
     return fts_snippet(s, d).select("id", F.posexplode(search.snippet_parts(F.col("snippet"))).alias("part", "text"))
+
+
+@query("fts_scan", ranked_sql(match_sql(search.phrases("glacier telescope")), 20))
+def fts_scan(s: SparkSession, d: str) -> DataFrame:
+    """A search without an index, of texts asked once only."""
+    return search.top(search.match(search.index(T(s, d, "content_units")), search.phrases("glacier telescope")), 20)
+
+
+@query("hybrid_snippets")
+def hybrid_snippets(s: SparkSession, d: str) -> DataFrame:
+    """The hits of hybrid_search with their snippets; the choice of a snippet's window has no SQL."""
+    return search.with_snippets(hybrid_search(s, d), T(s, d, "content_units"), T(s, d, "unit_translations"), search.phrases("glacier telescope"))
+
+
+@query("hybrid_filename", f"""
+WITH f AS (SELECT u.asset_id, h.id AS unit_id, round(h.score, 6) AS score, row_number() OVER (PARTITION BY u.asset_id ORDER BY round(h.score, 6) DESC, h.id) AS r FROM ({match_sql(search.phrases("window", "filename"))}) h JOIN (SELECT DISTINCT id, asset_id FROM content_units) u ON u.id = h.id JOIN (SELECT DISTINCT id FROM assets) a ON a.id = u.asset_id),
+k AS (SELECT unit_id, row_number() OVER (ORDER BY score DESC, unit_id) - 1 AS rank0 FROM f WHERE r = 1)
+SELECT unit_id, round(1.0::DOUBLE / (61 + rank0), 9) AS score FROM k WHERE rank0 < 25""")
+def hybrid_filename(s: SparkSession, d: str) -> DataFrame:
+    """Search by file name: one unit per file, chosen ahead of the cut."""
+    return run_hybrid(s, d, QuerySpec("window", 25, scope="filename")).select("unit_id", "score")
+
+
+@query("index_maintenance", f"""
+WITH kept AS (SELECT DISTINCT id, asset_id, title, text, file_name FROM content_units), gone AS (SELECT DISTINCT id FROM assets WHERE size_bytes % 5 = 0),
+now AS (SELECT id, title, CASE WHEN ordinal = 1 THEN 'renewed glacier' ELSE text END AS text, file_name FROM (SELECT DISTINCT id, asset_id, ordinal, title, text, file_name FROM content_units) u WHERE asset_id NOT IN (SELECT id FROM gone))
+SELECT id, round(score, 6) AS score FROM ({match_sql(search.phrases("glacier"), "now")}) ORDER BY round(score, 6) DESC, id LIMIT 50""")
+def index_maintenance(s: SparkSession, d: str) -> DataFrame:
+    """An index after its life: written, first units of files replaced, files deleted, then searched."""
+    from tessera.session import shared_folder
+
+    units = T(s, d, "content_units")
+    index = inverted.build(s, units, f"{shared_folder(s)}/index/maintained-{uuid.uuid4().hex}")
+    index.replace(units.filter("ordinal = 1").withColumn("text", F.lit("renewed glacier")))
+    index.delete_assets(T(s, d, "assets").filter("size_bytes % 5 = 0").select(F.col("id").alias("asset_id")))
+    return search.top(index.match(search.phrases("glacier")).withColumnRenamed("key", "id"), 50)
+
+
+@query("index_heal", "SELECT count(DISTINCT id) AS units, count(DISTINCT id) AS linked, true AS consistent FROM content_units")
+def index_heal(s: SparkSession, d: str) -> DataFrame:
+    """An index that lacks some units, healed from the table."""
+    from tessera.session import shared_folder
+
+    units = T(s, d, "content_units")
+    index = inverted.build(s, units.filter("ordinal > 1"), f"{shared_folder(s)}/index/healed-{uuid.uuid4().hex}")
+    index.heal(units)
+    return index.linkage(units)
+
+
+@query("vector_topk_many", """
+SELECT asked, vec_id, score FROM (SELECT asked, vec_id, score, row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id) AS r FROM (
+  SELECT q.vec_id AS asked, v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0)) WHERE r <= 10""")
+def vector_topk_many(s: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 50, against all."""
+    v = T(s, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    dim = v.select(F.size("vector")).first()[0]
+    return search.nearest_units(v, v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("asked"), F.col("vector").alias("q")), 10, "vec_id", dim, by="asked")

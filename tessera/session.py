@@ -53,6 +53,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's own folder within the one that all executors share."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there; survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
