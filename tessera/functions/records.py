@@ -17,8 +17,8 @@ from tessera.functions.text import tokens_of
 MASK = "__set__"
 # How translation backends write languages where they differ from the two letters used here.
 BACKEND_CODES = {"baidu": {"ja": "jp", "ko": "kor", "fr": "fra", "es": "spa"}}
-#: Keys of recognition answers that hold no text.
-METADATA_KEYS = ("model", "model_settings", "input_path", "path", "log_id", "logid", "lang", "language", "type", "label", "errorMsg")
+# Keys of recognition answers that hold no text.
+METADATA_KEYS = ("score", "confidence", "box", "boxes", "poly", "dt", "logId", "errorCode", "errorMsg", "elapsedTime", "min", "general", "label", "inputImage", "modelName")
 
 
 def masked(secret: Column) -> Column:
@@ -63,37 +63,30 @@ def typed_refs(payload: Column) -> Column:
 
 
 def collected_text(answer: str | None) -> str | None:
-    """The text of a recognition answer: its `rec_texts`, else every string below 500 characters that is no link and no metadata."""
-    if answer is None:
-        return None
+    """The text of a recognition answer, parts with a blank between: the recognised lines of its results; where these hold none, every string
+    below 500 bytes that is no link, whatever the place, but for fields that hold no text. Null for what is no JSON."""
     try:
-        root = json.loads(answer)
+        root = json.loads(answer) if answer is not None else None
     except ValueError:
         return None
-    found: list[str] = []
-
-    def listed(x: object) -> bool:
-        if isinstance(x, dict):
-            if isinstance(x.get("rec_texts"), list):
-                found.extend(t for t in x["rec_texts"] if isinstance(t, str))
-                return True
-            return any([listed(v) for v in x.values()])
-        return any([listed(v) for v in x]) if isinstance(x, list) else False
-
-    def walk(x: object, key: str = "") -> None:
+    if answer is None:
+        return None
+    at = lambda x, *keys: at(x.get(keys[0]), *keys[1:]) if keys and isinstance(x, dict) else None if keys else x
+    results = at(root, "result", "ocrResults")
+    lines = [t.strip() for r in (results if isinstance(results, list) else []) for t in (at(r, "prunedResult", "rec_texts") or []) if isinstance(t, str) and t.strip()]
+    if lines:
+        return " ".join(lines)
+    found, todo = [], [root]
+    while todo:
+        x = todo.pop()
         if isinstance(x, dict):
-            for k, v in x.items():
-                if k not in METADATA_KEYS:
-                    walk(v, k)
+            # Fields come in the order of their names, as parsed objects keep them.
+            todo.extend(x[k] for k in sorted(x, reverse=True) if k not in METADATA_KEYS)
         elif isinstance(x, list):
-            for v in x:
-                walk(v, key)
-        elif isinstance(x, str) and x.strip() and len(x) < 500 and not x.startswith("http"):
+            todo.extend(reversed(x))
+        elif isinstance(x, str) and x and not x.startswith("http") and len(x.encode()) < 500:
             found.append(x)
-
-    if not listed(root):
-        walk(root)
-    return "\n".join(found)
+    return " ".join(found).strip()
 
 
 @F.pandas_udf(T.StringType())
@@ -101,6 +94,76 @@ def collected_text_udf(answers: pd.Series) -> pd.Series:
     return answers.map(collected_text, na_action="ignore")
 
 
+def folder_meta(raw: Column) -> Column:
+    """(visibility, permissions) of a folder's JSON: anything but public is internal, ill-formed entries are dropped; null for what is no JSON."""
+    kind = "struct<visibility:string,permissions:array<struct<subjectType:string,subjectId:string,level:string>>>"
+    known = F.from_json(raw, kind)
+    entry = lambda e: e["subjectType"].isin("user", "user_group") & e["subjectId"].isNotNull() & e["level"].isin("read", "write", "deny")
+    kept = F.filter(F.coalesce(known["permissions"], F.array().cast("array<struct<subjectType:string,subjectId:string,level:string>>")), lambda e: F.coalesce(entry(e), F.lit(False)))
+    valid = F.get_json_object(raw, "$").isNotNull()
+    return F.when(valid, F.struct(F.when(known["visibility"] == "public", "public").otherwise("internal").alias("visibility"), kept.alias("permissions")))
+
+
+# Formats of exports.
+EXPORT_FORMATS = ("pdf", "pptx", "native", "original")
+
+
+def export_payload(raw: Column) -> Column:
+    """(format, units) of an export's JSON; null without units, or with a format that isn't known."""
+    known = F.from_json(raw, "struct<format:string,units:array<struct<assetId:string,ordinal:int>>>")
+    return F.when((F.size(known["units"]) > 0) & known["format"].isin(*EXPORT_FORMATS), known)
+
+
+def query_line(line: Column) -> Column:
+    """The search that a line of an answer proposes (QUERY: ..., in any case, after a list mark, with a wide colon); null for other lines."""
+    return F.nullif(F.regexp_extract(line, r"(?i)^\s*(?:[-*·•]\s*)?QUERY\s*[:：]\s*(.+?)\s*$", 1), F.lit(""))
+
+
+def citations(line: Column) -> Column:
+    """The numbers cited in a line as 【n】, in order."""
+    return F.transform(F.regexp_extract_all(line, F.lit("【([0-9]+)】"), 1), lambda x: x.cast("int"))
+
+
+def bold_parts(line: Column) -> Column:
+    """The stretches set in bold in a line."""
+    return F.regexp_extract_all(line, F.lit(r"\*\*([^*]+)\*\*"), 1)
+
+
+def feedback(query: Column, answer: Column, rating: Column) -> Column:
+    """(query, answer, rating) as stored: the query of at most 500 characters, the answer of at most 4,000 or null, the rating up or down."""
+    return F.when(rating.isin("up", "down"), F.struct(F.left(query, F.lit(500)).alias("query"), F.left(F.nullif(answer, F.lit("")), F.lit(4000)).alias("answer"), rating.alias("rating")))
+
+
+def resolved_model(picked: Column, default: Column, first: Column, fallback: Column) -> Column:
+    """The model a request uses: the user's, else the site's, else the first enabled one, else that of the environment."""
+    return F.coalesce(picked, default, first, fallback)
+
+
+def newly(after: Column, before: Column) -> Column:
+    """What a list has that it didn't have before."""
+    return F.array_except(after, before)
+
+
+def packed_floats(v: Column) -> Column:
+    """A vector as bytes of little-endian 32-bit floats."""
+
+    @F.pandas_udf(T.BinaryType())
+    def pack(vs: pd.Series) -> pd.Series:
+        return vs.map(lambda x: np.asarray(x, dtype="<f4").tobytes(), na_action="ignore")
+
+    return pack(v)
+
+
+def unpacked_floats(raw: Column) -> Column:
+    """A vector from bytes of little-endian 32-bit floats; what is left over at the end counts for nothing."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def unpack(vs: pd.Series) -> pd.Series:
+        return vs.map(lambda x: np.frombuffer(x[: len(x) // 4 * 4], dtype="<f4").tolist(), na_action="ignore")
+
+    return unpack(raw)
+
+
 def media_facts(probe: Column) -> Column:
     """Duration, codecs, size and tags from a media probe's JSON; null for what is none."""
     return F.from_json(probe, "struct<format:struct<duration:string,tags:map<string,string>>,streams:array<struct<codec_type:string,codec_name:string,width:int,height:int>>>")

@@ -13,18 +13,30 @@ from pyspark.sql import functions as F
 def transcript_windows(segments: DataFrame, key: str, start: str, end: str, text: str, width_ms: int = 30_000) -> DataFrame:
     """(key, window_no, start_ms, end_ms, text): segments in order, gathered greedily from a window's start until it spans the width.
 
-    A segment that begins at or after the width opens a new window. Blank texts are dropped. One file's segments make one array.
+    A segment that begins at or after the width opens a new window. Blank texts are dropped. One file's segments make one array, folded
+    once from end to end.
     """
-    s = segments.filter(F.trim(F.coalesce(text, F.lit(""))) != "").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"), F.trim(text).alias("t")))).alias("segs"))
-    kind = "array<struct<s:bigint,e:bigint,t:string>>"
 
-    def add(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        merged = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"), F.concat_ws(" ", last["t"], x["t"]).alias("t"))
-        return F.when((F.size(acc) > 0) & (x["s"] - F.try_element_at(acc, F.lit(-1))["s"] < width_ms), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(acc, F.array(x)))
-
-    folded = s.select(key, F.aggregate("segs", F.array().cast(kind), add).alias("w"))
-    return folded.select(key, F.posexplode("w").alias("p", "x")).select(key, (F.col("p") + 1).alias("window_no"), F.col("x.s").alias("start_ms"), F.col("x.e").alias("end_ms"), F.col("x.t").alias("text"))
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for k, segs in zip(f["k"], f["segs"], strict=True):
+                no, opened, last, parts = 0, None, None, []
+                for x in segs:
+                    if opened is not None and (x["s"] is None or x["s"] - opened >= width_ms):
+                        out.append((k, no, opened, last, " ".join(parts)))
+                        opened = None
+                    if opened is None:
+                        no, opened, last, parts = no + 1, x["s"], x["e"], []
+                    last = max((y for y in (last, x["e"]) if y is not None), default=None)
+                    parts.append(x["t"])
+                if parts:
+                    out.append((k, no, opened, last, " ".join(parts)))
+            yield pd.DataFrame(out, columns=[key, "window_no", "start_ms", "end_ms", "text"])
+
+    rows = segments.filter((F.trim(F.coalesce(text, F.lit(""))) != "") & F.col(start).isNotNull())
+    grouped = rows.groupBy(F.col(key).alias("k")).agg(F.array_sort(F.collect_list(F.struct(F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"), F.trim(text).alias("t")))).alias("segs"))
+    return grouped.mapInPandas(fold, f"`{key}` {dict(segments.dtypes)[key]}, window_no int, start_ms long, end_ms long, text string")
 
 
 def batches(items: DataFrame, group: str, order: str, size: str, most: int, budget: int) -> DataFrame:
@@ -48,15 +60,26 @@ def batches(items: DataFrame, group: str, order: str, size: str, most: int, budg
 
 
 def accepted_entries(entries: DataFrame, archive: str, order: str, size: str, max_entries: int, max_bytes: int) -> DataFrame:
-    """(archive, order, accepted): entries in order; one that would exceed the count or the bytes is passed over and uses up neither."""
-    s = entries.groupBy(archive).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(size).cast("long").alias("b")))).alias("es"))
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("b"), F.array().cast("array<struct<o:bigint,ok:boolean>>").alias("out"))
+    """(archive, order, accepted): entries in order; one that would exceed the count or the bytes is passed over and uses up neither.
 
-    def step(acc: Column, e: Column) -> Column:
-        ok = (acc["n"] < max_entries) & (acc["b"] + e["b"] <= max_bytes)
-        return F.struct((acc["n"] + ok.cast("long")).alias("n"), (acc["b"] + F.when(ok, e["b"]).otherwise(F.lit(0))).alias("b"), F.concat(acc["out"], F.array(F.struct(e["o"].alias("o"), ok.alias("ok")))).alias("out"))
+    Rows come sorted by archive and place, and a task folds them as they pass: no archive is held as one array.
+    """
 
-    return s.select(archive, F.explode(F.aggregate("es", zero, step)["out"]).alias("x")).select(archive, F.col("x.o").alias(order), F.col("x.ok").alias("accepted"))
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, n, total = object(), 0, 0
+        for f in frames:
+            accepted = []
+            for a, b in zip(f[archive], f["_size"], strict=True):
+                if a != now:
+                    now, n, total = a, 0, 0
+                ok = n < max_entries and total + b <= max_bytes
+                n, total = n + ok, total + (b if ok else 0)
+                accepted.append(ok)
+            yield pd.DataFrame({archive: f[archive], order: f[order], "accepted": accepted})
+
+    rows = entries.select(archive, order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size")).repartition(archive).sortWithinPartitions(archive, order)
+    kinds = dict(entries.dtypes)
+    return rows.mapInPandas(fold, f"`{archive}` {kinds[archive]}, `{order}` {kinds[order]}, accepted boolean")
 
 
 def debounce(events: list[int], quiet: int, cap: int) -> list[tuple[int, int, int]]:
@@ -120,22 +143,37 @@ def interleave(originals: DataFrame, translations: DataFrame, limit: int = 20) -
     return slots.coalesce(1).mapInPandas(pick, "unit_id string, asset_id string, slot long")
 
 
-CUTS = " \t\n\r,.;:!?，。；：！？、()（）[]【】\"'“”‘’/\\|"
+# Characters that end a completion.
+CUTS = frozenset(" \t，。、；：？！…—·,.;:?!()（）[]【】<>《》\"'`\n\r")
 
 
 def completions_of(query: str, text: str | None, hits: int = 4, ahead: int = 12, longest: int = 24) -> list[str]:
-    """What follows the query in a text, up to the next cut character."""
-    squished = " ".join((text or "").split())
-    low, q, out, at = squished.lower(), " ".join(query.lower().split()), [], 0
-    while q and len(out) < hits and (i := low.find(q, at)) >= 0:
-        end = i + len(q)
-        stop = end
-        while stop < min(len(squished), end + ahead) and squished[stop] not in CUTS:
-            stop += 1
-        phrase = squished[i:stop].strip()
-        out.append(phrase)
-        at = end
-    return [p for p in out if len(p) > len(q) and len(p) <= longest]
+    """The stretches of a text that begin with the query and go on to the next cut character.
+
+    White space counts neither in the query nor in the text when they are matched; the stretch is that of the text as it stands, longer than
+    the query and of at most `longest` characters. Up to `hits` places, none overlapping, count.
+    """
+    asked = query.strip().lower()
+    bare = "".join(asked.split())
+    if not bare or not text:
+        return []
+    places = [i for i, c in enumerate(text) if not c.isspace()]
+    low = [text[i].lower() for i in places]
+    at = [p for p, c in zip(places, low, strict=True) for _ in c]  # a letter may become two in lower case
+    squeezed, out, start = "".join(low), [], 0
+    for _ in range(hits):
+        i = squeezed.find(bare, start)
+        if i < 0:
+            break
+        start = i + len(bare)
+        first = at[i]
+        end = first + len(asked)
+        while end < min(len(text), first + len(asked) + ahead) and text[end] not in CUTS:
+            end += 1
+        phrase = text[first:end].strip()
+        if len(asked) < len(phrase) <= longest:
+            out.append(phrase)
+    return out
 
 
 def completions(texts: DataFrame, text: str, query: str, most: int = 8) -> DataFrame:
@@ -145,7 +183,7 @@ def completions(texts: DataFrame, text: str, query: str, most: int = 8) -> DataF
         for f in frames:
             yield pd.DataFrame({"phrase": [p for t in f["t"] for p in completions_of(query, t)]}, dtype=object)
 
-    some = texts.select(F.col(text).alias("t")).filter(F.contains(F.lower(F.regexp_replace("t", r"\s+", " ")), F.lit(" ".join(query.lower().split()))))
+    some = texts.select(F.col(text).alias("t")).filter(F.contains(F.lower(F.regexp_replace("t", r"\s+", "")), F.lit("".join(query.lower().split()))))
     return some.mapInPandas(find, "phrase string").groupBy("phrase").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.length("phrase"), "phrase").limit(most)
 
 

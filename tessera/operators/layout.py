@@ -60,80 +60,123 @@ def lines_of(fragments: list[Piece]) -> list[Piece]:
             rows[-1].append(f)
         else:
             rows.append([f])
-    return [merged(r, joined([x.text for x in sorted(r, key=lambda x: x.left)])) for r in rows]
+    out = []
+    for r in rows:
+        r.sort(key=lambda x: x.left)
+        p = merged(r, joined([x.text for x in r]))
+        p.lines = r
+        out.append(p)
+    return out
 
 
 def overlap(a: Piece, b: Piece) -> float:
     return max(0.0, min(a.right, b.right) - max(a.left, b.left)) / max(min(a.right - a.left, b.right - b.left), 1e-9)
 
 
-def columns_of(fragments: list[Piece], width: float) -> list[float]:
-    """Left edges of the columns: gaps of at least COLUMN_GAP of the page in a histogram of where text stands."""
+def columns_of(fragments: list[Piece], width: float) -> list[tuple[float, float]]:
+    """(left, right) of the columns: gaps of at least COLUMN_GAP of the page in a histogram of where text stands part them."""
     seen = np.zeros(STRIPS, bool)
     for f in fragments:
         if f.right - f.left < SPANNING * width:
             seen[int(np.clip(f.left / width * STRIPS, 0, STRIPS - 1)) : int(np.clip(f.right / width * STRIPS, 0, STRIPS - 1)) + 1] = True
-    starts, empty, inside = [], int(STRIPS * COLUMN_GAP), False
-    gap = STRIPS
-    for i, s in enumerate(seen):
-        if s and not inside and gap >= empty:
-            starts.append(i * width / STRIPS)
-        gap = 0 if s else gap + 1
-        inside = bool(s) or (inside and gap < empty)
-    return starts or [0.0]
+    empty, strip = int(STRIPS * COLUMN_GAP), width / STRIPS
+    out: list[list[int]] = []
+    for i in np.flatnonzero(seen).tolist():
+        if out and i - out[-1][1] - 1 < empty:
+            out[-1][1] = i
+        else:
+            out.append([i, i])
+    return [(a * strip, (b + 1) * strip) for a, b in out] or [(0.0, width)]
+
+
+def column_at(left: float, starts: list[float]) -> int:
+    """The last column that begins at or before a left edge, 3 points of tolerance."""
+    return max((k for k, c in enumerate(starts) if c <= left + 3), default=0)
+
+
+def spanned(line: Piece, starts: list[float]) -> set[int]:
+    return {column_at(f.left, starts) for f in line.lines}
 
 
-def table_starts(fragments: list[Piece]) -> list[float]:
-    """Left edges of the columns of a table within a text column; empty where there is none.
+def table_starts(lines: list[Piece]) -> list[float]:
+    """Left edges of the columns of a table that a group of lines makes; empty where it makes none.
 
-    Edges that recur (within 3 points) in at least two rows are starts, those closer than 1.6 of the usual size are one. It is a table when
-    35 % of the rows have text in two columns or more, two columns have three rows or more, and an empty corridor parts neighbours.
+    Edges that recur (within 3 points) in at least two lines are starts, those closer than 1.6 of the usual size are one. It is a table when
+    35 % of the lines have text in two columns or more, two columns have three lines or more, and an empty corridor parts neighbours.
     """
-    rows: list[list[Piece]] = []
-    for f in sorted(fragments, key=lambda x: ((x.top + x.bottom) / 2, x.left)):
-        if rows and abs((f.top + f.bottom) / 2 - np.mean([(x.top + x.bottom) / 2 for x in rows[-1]])) <= max(3.0, 0.4 * f.height):
-            rows[-1].append(f)
-        else:
-            rows.append([f])
-    if len(rows) < 3:
+    fragments = [(i, f) for i, x in enumerate(lines) for f in x.lines]
+    if len(lines) < 2 or len(fragments) < 4:
         return []
-    sizes = [round(f.size * 10) for f in fragments]
-    usual = max(sorted(set(sizes)), key=sizes.count) / 10
-    clusters: list[tuple[float, set[int]]] = []
-    for left, i in sorted((f.left, i) for i, row in enumerate(rows) for f in row):
-        if clusters and left - clusters[-1][0] <= 3:
-            clusters[-1][1].add(i)
+    usual = max(max(lines, key=lambda x: len(x.text)).size, 4.0)
+    clusters: list[list] = []  # first edge, last edge, lines
+    for left, i in sorted((f.left, i) for i, f in fragments):
+        if clusters and left - clusters[-1][1] <= 3:
+            clusters[-1][1] = left
+            clusters[-1][2].add(i)
         else:
-            clusters.append((left, {i}))
-    starts: list[float] = []
-    for left, seen in clusters:
-        if len(seen) >= 2 and (not starts or left - starts[-1] >= 1.6 * usual):
-            starts.append(left)
+            clusters.append([left, left, {i}])
+    starts, last = [], None
+    for a, b, seen in clusters:
+        if len(seen) >= 2:
+            if last is None or a - last > 1.6 * usual:
+                starts.append(a)
+            last = b
     if len(starts) < 2:
         return []
-    at = lambda f: max((k for k, c in enumerate(starts) if c <= f.left + 3), default=0)
-    used = [{at(f) for f in row} for row in rows]
-    deep = [sum(k in u for u in used) >= 3 for k in range(len(starts))]
-    clear = all(max((f.right for f in fragments if at(f) == k), default=0) + 1 <= starts[k + 1] for k in range(len(starts) - 1))
-    return starts if sum(len(u) >= 2 for u in used) >= 0.35 * len(rows) and sum(deep) >= 2 and clear else []
+    used = [spanned(x, starts) for x in lines]
+    if sum(len(u) >= 2 for u in used) * 20 < len(lines) * 7 or sum(sum(k in u for u in used) >= 3 for k in range(len(starts))) < 2:
+        return []
+    for here, after in zip(starts, starts[1:], strict=False):
+        end = max((f.right for _, f in fragments if f.left >= here - 3 and f.right < after), default=here)
+        middle = (max(end, here) + after) / 2
+        if after - max(end, here) < 1 or any(f.left < middle - 0.5 and f.right > middle + 0.5 for _, f in fragments):
+            return []
+    return starts
+
+
+def cells_of(lines: list[Piece], starts: list[float]) -> list[Piece]:
+    """A block per column of a table, its cells line by line."""
+    cells: dict[int, list[Piece]] = {}
+    for x in lines:
+        for f in x.lines:
+            cells.setdefault(column_at(f.left, starts), []).append(f)
+    out = []
+    for k in sorted(cells):
+        p = merged(cells[k], joined([f.text for f in cells[k]]))
+        p.lines = cells[k]
+        out.append(p)
+    return out
+
+
+_SYMBOLS = re.compile(r"[\s√×✓✗·—]*")
 
 
 def blocks_of(lines: list[Piece]) -> list[Piece]:
-    """Lines one under the other, at least half overlapping and less than 1.5 line heights apart."""
-    blocks: list[list[Piece]] = []
+    """Blocks of a column's lines: groups one under the other, at least half overlapping and less than 1.5 line heights apart.
+
+    A group that makes a table gives a block per column. One right after a table takes over its columns when four fifths of its lines have
+    text in two of them. Other groups are one block; those of symbols only are dropped.
+    """
+    groups: list[list[Piece]] = []
     for line in sorted(lines, key=lambda x: (x.top, x.left)):
-        for b in reversed(blocks):
-            last = b[-1]
-            if overlap(last, line) >= OVERLAP and line.top - last.bottom < BLOCK_GAP * (last.height + line.height) / 2:
-                b.append(line)
-                break
+        last = groups[-1][-1] if groups else None
+        if last is not None and overlap(last, line) >= OVERLAP and max(0.0, line.top - last.bottom) < BLOCK_GAP * (last.height + line.height) / 2:
+            groups[-1].append(line)
         else:
-            blocks.append([line])
-    out = []
-    for b in blocks:
-        p = merged(b, hyphen_joined([x.text for x in b]))
-        p.lines = b
-        out.append(p)
+            groups.append([line])
+    out, grid = [], []
+    for g in groups:
+        starts = table_starts(g)
+        if not starts and len(grid) >= 2 and sum(len(spanned(x, grid)) >= 2 for x in g) * 10 >= len(g) * 8:
+            starts = grid
+        grid = starts
+        if starts:
+            out += cells_of(g, starts)
+            continue
+        p = merged(g, hyphen_joined([x.text for x in g]))
+        p.lines = g
+        if not _SYMBOLS.fullmatch(p.text):
+            out.append(p)
     return out
 
 
@@ -144,22 +187,23 @@ def hyphen_joined(lines: list[str]) -> str:
     return out
 
 
-def reading_order(blocks: list[Piece], columns: list[float], width: float) -> list[Piece]:
-    """Column by column; a block over most of the page comes after the columns above it and before those below."""
-    out, waiting = [], []
-
-    def flush() -> None:
-        by = sorted(waiting, key=lambda b: (max((i for i, c in enumerate(columns) if c <= b.left + 3), default=0), b.top, b.left))
-        out.extend(by)
-        waiting.clear()
-
-    for b in sorted(blocks, key=lambda b: (b.top, b.left)):
-        if b.right - b.left >= SPANNING * width:
-            flush()
-            out.append(b)
-        else:
-            waiting.append(b)
-    flush()
+def reading_order(blocks: list[Piece], columns: list[tuple[float, float]], width: float) -> list[Piece]:
+    """Ahead of each block over most of the page come the blocks above it, column by column; after the last one, whichever column's next
+    block stands highest. A block belongs to the column whose middle is nearest to its own; on a page of one column the order is that of the tops."""
+    if len(columns) <= 1:
+        return sorted(blocks, key=lambda b: b.top)
+    spans = sorted((b for b in blocks if b.right - b.left > SPANNING * width), key=lambda b: b.top)
+    own: list[list[Piece]] = [[] for _ in columns]
+    for b in sorted((b for b in blocks if b.right - b.left <= SPANNING * width), key=lambda b: b.top):
+        own[min(range(len(columns)), key=lambda k: abs((b.left + b.right) / 2 - sum(columns[k]) / 2))].append(b)
+    out = []
+    for span in spans:
+        for column in own:
+            while column and column[0].top < span.top:
+                out.append(column.pop(0))
+        out.append(span)
+    while any(own):
+        out.append(min((column for column in own if column), key=lambda column: column[0].top).pop(0))
     return out
 
 
@@ -182,17 +226,11 @@ def page_blocks(fragments: DataFrame, width: float, height: float) -> DataFrame:
             for doc, page, fs in zip(f["doc"], f["page"], f["fs"], strict=True):
                 pieces = [Piece(x["text"], x["left"], x["top"], x["left"] + x["width"], x["top"] + x["height"], x["size"], bool(x["bold"])) for x in fs if x["text"] and x["text"].strip()]
                 cols = columns_of(pieces, width)
-                by: dict[int, list[Piece]] = {}
+                lefts, by = [a for a, _ in cols], {}
                 for p in pieces:
-                    by.setdefault(-1 if p.right - p.left >= SPANNING * width else max((i for i, c in enumerate(cols) if c <= p.left + 3), default=0), []).append(p)
-                lines = []
-                for k, part in by.items():
-                    starts = table_starts(part) if k >= 0 else []
-                    cells: dict[int, list[Piece]] = {}
-                    for p in part:
-                        cells.setdefault(max((i for i, c in enumerate(starts) if c <= p.left + 3), default=0), []).append(p)
-                    lines += [x for cell in cells.values() for x in lines_of(cell)]
-                rows += [(doc, page, i, b.text, b.left, b.top, b.right, b.bottom, b.size, b.bold) for i, b in enumerate(reading_order(blocks_of(lines), cols, width), 1)]
+                    by.setdefault(-1 if p.right - p.left >= SPANNING * width else column_at(p.left, lefts), []).append(p)
+                blocks = [b for part in by.values() for b in blocks_of(lines_of(part))]
+                rows += [(doc, page, i, b.text, b.left, b.top, b.right, b.bottom, b.size, b.bold) for i, b in enumerate(reading_order(blocks, cols, width), 1)]
             yield pd.DataFrame(rows, columns=["doc", "page", "block", "text", "left", "top", "right", "bottom", "size", "bold"])
 
     one = F.struct(*[F.col(c) for c in ("top", "left", "text", "width", "height", "size", "bold")])

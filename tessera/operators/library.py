@@ -54,8 +54,9 @@ def neighbours(units: DataFrame, wanted: DataFrame, before: int = 1, after: int
     """(asked, unit_id, ordinal, offset): the units of the same file within `before` and `after` places of each wanted unit (id)."""
     u = units.select(F.col("id").alias("unit_id"), "asset_id", "ordinal").distinct()
     asked = u.join(wanted.select(F.col("id").alias("unit_id")).distinct(), "unit_id", "left_semi").select(F.col("unit_id").alias("asked"), "asset_id", F.col("ordinal").alias("at"))
-    near = u.join(asked, "asset_id").filter(F.col("ordinal").between(F.greatest(F.lit(1), F.col("at") - before), F.col("at") + after))
-    return near.select("asked", "unit_id", "ordinal", (F.col("ordinal") - F.col("at")).alias("offset"))
+    # The ordinals asked for are spelled out and met by equality: a file with many units costs no more than its neighbours do.
+    places = asked.select("asked", "asset_id", "at", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - before), F.greatest(F.lit(1), F.col("at") + after))).alias("ordinal"))
+    return u.join(places, ["asset_id", "ordinal"]).select("asked", "unit_id", "ordinal", (F.col("ordinal") - F.col("at")).alias("offset"))
 
 
 def without_embedding(units: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -108,15 +109,46 @@ def replace_by_key(current: DataFrame, fresh: DataFrame, keys: list[str]) -> Dat
 
 
 def first_prefix(records: DataFrame, metas: DataFrame, path: str = "path") -> DataFrame:
-    """records with the metadata of the first prefix (pos, prefix, meta) that their path starts with, or null.
+    """records with the metadata of the first prefix (pos, prefix, meta) that their path starts with, or null. Any string is a prefix.
 
-    Prefixes are matched by equality: each path is expanded to its own folder chain, so no pair of record and prefix is formed in vain.
-    A prefix is a whole folder or a whole path.
+    Prefixes are matched by equality: each path is cut to the lengths that prefixes have, so no pair of record and prefix is formed in vain.
     """
-    own = F.array_union(F.array(F.col(path)), dir_chain(F.col(path)))
-    hits = records.select(path).distinct().select(path, F.explode(own).alias("prefix")).join(metas, "prefix").groupBy(path).agg(F.min_by("meta", "pos").alias("meta"))
+    lengths = metas.agg(F.coalesce(F.sort_array(F.collect_set(F.length("prefix"))), F.array().cast("array<int>")).alias("_lengths"))  # as many as lengths, not as prefixes
+    cut = records.select(path).distinct().crossJoin(F.broadcast(lengths)).select(path, F.explode(F.transform(F.filter("_lengths", lambda n: n <= F.length(path)), lambda n: F.struct(F.left(F.col(path), n).alias("prefix")))).alias("x"))
+    hits = cut.select(path, F.col("x.prefix").alias("prefix")).join(metas, "prefix").groupBy(path).agg(F.min_by("meta", "pos").alias("meta"))
     return records.join(hits, path, "left")
 
 
+def overview(assets: DataFrame, units: DataFrame, length: int = 300) -> DataFrame:
+    """(asset_id, unit_id, ordinal, title, text_preview) of the units of files."""
+    u = units.select(F.col("id").alias("unit_id"), "asset_id", "ordinal", "title", F.left(F.coalesce("text", F.lit("")), F.lit(length)).alias("text_preview")).distinct()
+    return u.join(assets.select(F.col("id").alias("asset_id")).distinct(), "asset_id", "left_semi")
+
+
+def newest(jobs: DataFrame, by: str, time: str) -> DataFrame:
+    """The newest row of each group, of equal times the largest."""
+    rest = [c for c in jobs.columns if c != by]
+    return jobs.groupBy(by).agg(F.max(F.struct(F.col(time).alias("_t"), *rest)).alias("x")).select(by, *[F.col(f"x.{c}").alias(c) for c in rest])
+
+
+def export_plan(selection: DataFrame) -> DataFrame:
+    """(asset_id, first_pos, ordinals, units) of a selection of units (pos, asset_id, ordinal): a row per file, its ordinals in the order of
+    selection; ordered by first_pos, files come in the order in which they were first chosen."""
+    chosen = F.sort_array(F.collect_list(F.struct("pos", "ordinal")))  # the units of one file
+    grouped = selection.groupBy("asset_id").agg(F.min("pos").alias("first_pos"), chosen.alias("x"))
+    return grouped.select("asset_id", "first_pos", F.array_join(F.transform("x", lambda e: e["ordinal"].cast("string")), ",").alias("ordinals"), F.size("x").cast("long").alias("units"))
+
+
+def permission_names(entries: DataFrame, users: DataFrame, groups: DataFrame) -> DataFrame:
+    """Access entries with the name of the user or group they are for; null for one that is gone. users and groups (id, name)."""
+    names = users.select(F.lit("user").alias("subject_type"), F.col("id").alias("subject_id"), "name").unionByName(groups.select(F.lit("group").alias("subject_type"), F.col("id").alias("subject_id"), "name")).distinct()
+    return entries.join(names, ["subject_type", "subject_id"], "left")
+
+
+def put_permissions(entries: DataFrame, changes: DataFrame) -> DataFrame:
+    """Entries after changes by (subject_type, subject_id, target_type, target_id): a null level takes one out, others take its place."""
+    return replace_by_key(entries, changes, ["subject_type", "subject_id", "target_type", "target_id"]).filter("level IS NOT NULL")
+
+
 def contains_ci(c: Column, q: str) -> Column:
     return F.contains(F.lower(c), F.lit(q.lower()))

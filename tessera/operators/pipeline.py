@@ -3,21 +3,80 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.text import dirname
+from tessera.functions.text import dirname, timecode
+from tessera.session import cut_lineage
+from tessera.sources.files import extractable
 
 
-def reconcile(disk: DataFrame, assets: DataFrame) -> DataFrame:
-    """(path, action): insert, update, skip or delete, from what a scan found (path, size_bytes, mtime_ms, content_hash) and what is known.
+def reconcile(disk: DataFrame, assets: DataFrame, source: str | None = None) -> DataFrame:
+    """(path, action, status, enqueue): insert, update, skip or delete, from what a scan found (path, size_bytes, mtime_ms, content_hash,
+    kind, oversized) and what is known (the same, extraction_status, source_id).
 
-    A file is unchanged when its hash is the same, or, where either side has none, its size and time are.
+    A file has changed when its hash has (that of an oversized file doesn't count; a missing one is empty), its size, time or kind. Only a
+    changed hash has it read again; a file that cannot be read is skipped. Paths belong to the source that saw them first: of files that are
+    gone, only those of the scanned source (all without one) are deleted. A duplicate row counts once.
     """
-    d = disk.select("path", F.col("size_bytes").alias("s1"), F.col("mtime_ms").alias("m1"), F.col("content_hash").alias("h1"), F.lit(True).alias("on_disk")).distinct()
-    a = assets.select("path", F.col("size_bytes").alias("s2"), F.col("mtime_ms").alias("m2"), F.col("content_hash").alias("h2"), F.lit(True).alias("known")).distinct()
-    same = F.when(F.col("h1").isNotNull() & F.col("h2").isNotNull(), F.col("h1") == F.col("h2")).otherwise(F.col("s1").eqNullSafe(F.col("s2")) & F.col("m1").eqNullSafe(F.col("m2")))
-    action = F.when(F.col("known").isNull(), "insert").when(F.col("on_disk").isNull(), "delete").when(same, "skip").otherwise("update")
-    return d.join(a, "path", "full_outer").select("path", action.alias("action"))
+    cols = ("size_bytes", "mtime_ms", "content_hash", "kind", "oversized")
+    d = disk.select("path", *[F.col(c).alias(f"d_{c}") for c in cols], F.lit(True).alias("on_disk")).distinct()
+    a = assets.select("path", *[F.col(c).alias(f"a_{c}") for c in cols], F.col("extraction_status").alias("before"), "source_id", F.lit(True).alias("known")).distinct()
+    hash_changed = (F.coalesce("d_content_hash", F.lit("")) != F.coalesce("a_content_hash", F.lit(""))) & ~F.coalesce("d_oversized", F.lit(False))
+    changed = hash_changed | ~F.col("d_size_bytes").eqNullSafe(F.col("a_size_bytes")) | ~F.col("d_mtime_ms").eqNullSafe(F.col("a_mtime_ms")) | ~F.col("d_kind").eqNullSafe(F.col("a_kind"))
+    own = F.lit(True) if source is None else F.coalesce(F.col("source_id") == source, F.lit(False))
+    action = F.when(F.col("known").isNull(), "insert").when(F.col("on_disk").isNull(), F.when(own, "delete").otherwise("skip")).when(changed, "update").otherwise("skip")
+    can = F.coalesce(extractable(F.col("d_kind"), F.col("d_oversized")), F.lit(False))
+    fresh = F.col("known").isNull() | hash_changed
+    status = F.when(~action.isin("insert", "update"), F.col("before")).when(~can, "skipped").when(fresh, "pending").when(F.col("before").isin("done", "failed"), F.col("before")).otherwise("pending")
+    return d.join(a, "path", "full_outer").select("path", action.alias("action"), status.alias("status"), F.coalesce(action.isin("insert", "update") & can & fresh, F.lit(False)).alias("enqueue"))
+
+
+def follow_ups(done: DataFrame, langs: list[str]) -> DataFrame:
+    """(asset_id, job, lang): what follows the reading of files (asset_id, kind, units): sound is transcribed; what has units is embedded and
+    translated, once per language."""
+    job = lambda name, lang=None: F.struct(F.lit(name).alias("job"), F.lit(lang).cast("string").alias("lang"))
+    none = F.array().cast("array<struct<job:string,lang:string>>")
+    jobs = F.concat(F.when(F.col("kind").isin("audio", "video"), F.array(job("transcribe"))).otherwise(none), F.when(F.col("units") > 0, F.array(job("embed"), *[job("translate", x) for x in langs])).otherwise(none))
+    return done.select("asset_id", F.inline(jobs)).distinct()
+
+
+def persist_units(units: DataFrame, results: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(units, entries): the units after files were read again (results: asset_id, id, ordinal, unit_type, title, text, ...), and what
+    the change log takes up: a removal of each unit that was there, an upsert of each that is, numbered on from the log's last version.
+
+    Files without a result keep their units. Versions run over removals first, then upserts, by unit id.
+    """
+    again = results.select("asset_id").distinct()
+    gone = units.join(again, "asset_id", "left_semi").select(F.col("id").alias("unit_id")).distinct()
+    blank = lambda c: F.nullif(F.col(c), F.lit("")).alias(c) if c in ("title", "text") else F.col(c)
+    fresh = results.select(*[blank(c) for c in units.columns])
+    return units.join(again, "asset_id", "left_anti").unionByName(fresh), entries(log, gone, fresh.select(F.col("id").alias("unit_id")).distinct())
+
+
+def persist_transcripts(units: DataFrame, windows: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(units, entries): frame units from transcript windows (asset_id, window_no, start_ms, end_ms, text) in the place of a file's earlier
+    transcript units (those with meta 'transcript'); ordinals run on from the number of its other units."""
+    again = windows.select("asset_id").distinct()
+    old = F.coalesce(F.col("meta") == "transcript", F.lit(False))
+    gone = units.filter(old).join(again, "asset_id", "left_semi").select(F.col("id").alias("unit_id")).distinct()
+    kept = units.join(gone.withColumnRenamed("unit_id", "id"), "id", "left_anti")
+    base = kept.groupBy("asset_id").agg(F.count_distinct("id").alias("base"))
+    made = windows.join(base, "asset_id", "left").withColumn("ordinal", (F.coalesce("base", F.lit(0)) + F.col("window_no")).cast("int"))
+    values = {"id": F.concat_ws("/", "asset_id", F.col("ordinal").cast("string")), "unit_type": F.lit("frame"), "title": timecode(F.col("start_ms")), "meta": F.lit("transcript"), "hidden": F.lit(False)}
+    fresh = made.select(*[(values[c] if c in values else F.col(c) if c in made.columns else F.lit(None)).cast(t).alias(c) for c, t in units.dtypes])
+    return kept.unionByName(fresh), entries(log, gone, fresh.select(F.col("id").alias("unit_id")))
+
+
+def entries(log: DataFrame, removed: DataFrame, upserted: DataFrame) -> DataFrame:
+    """(version, op, unit_id): log entries numbered on from the log's last version. Numbers are given by range: units are sorted once, each
+    task counts its own, and the counts of the tasks before are added."""
+    rows = removed.select(F.lit(0).alias("turn"), F.lit("remove").alias("op"), "unit_id").unionByName(upserted.select(F.lit(1).alias("turn"), F.lit("upsert").alias("op"), "unit_id"))
+    parted = cut_lineage(rows.orderBy("turn", "unit_id").withColumn("part", F.spark_partition_id()))
+    counts = parted.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row per task
+    own = F.row_number().over(W.partitionBy("part").orderBy("turn", "unit_id"))
+    return parted.withColumn("own", own).join(F.broadcast(before), "part").crossJoin(F.broadcast(current_version(log).withColumnRenamed("version", "last"))).select((F.col("last") + F.col("before") + F.col("own")).cast("long").alias("version"), "op", "unit_id")
 
 
 def last_ops(log: DataFrame, since: int = 0) -> DataFrame:
@@ -71,8 +130,6 @@ def source_counts(sources: DataFrame, assets: DataFrame) -> DataFrame:
 
 def closure(start: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node) reachable from start over edges (src, dst), start included: joins to a fixpoint, lineage cut each round."""
-    from tessera.session import cut_lineage
-
     seen = cut_lineage(start.select("node").distinct())
     front = seen
     for _ in range(rounds):

@@ -22,7 +22,7 @@ SELECT DISTINCT 'user' AS subject_type, 'user-0' || (size_bytes % 5) AS subject_
 UNION ALL SELECT DISTINCT 'group', 'g' || (size_bytes % 4), 'asset', id, CASE size_bytes % 5 WHEN 0 THEN 'deny' WHEN 1 THEN 'write' ELSE 'read' END FROM assets WHERE size_bytes % 11 = 0
 UNION ALL SELECT DISTINCT 'group', 'g' || (length(dir) % 4), 'dir', dir, CASE length(dir) % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'write' ELSE 'deny' END FROM (SELECT {DIR} AS dir FROM assets) WHERE length(dir) % 2 = 0
 UNION ALL SELECT DISTINCT 'user', 'user-0' || (length(dir) % 5), 'dir', dir, CASE length(dir) % 4 WHEN 0 THEN 'deny' WHEN 1 THEN 'write' ELSE 'read' END FROM (SELECT {DIR} AS dir FROM assets) WHERE length(dir) % 3 = 0"""
-_MEMBERS = "SELECT DISTINCT 'user-0' || (c_custkey % 5) AS user_id, 'g' || (c_nationkey % 3) AS group_id FROM customer WHERE c_custkey % 10 < 5"
+_MEMBERS = "SELECT DISTINCT 'user-0' || (c_custkey % 5) AS user_id, 'g' || (c_nationkey % 3) AS group_id FROM customer"
 _PUBLIC = f"SELECT DISTINCT {DIR} AS dir FROM assets WHERE length({DIR}) % 5 = 0 AND {DIR} <> ''"
 
 
@@ -44,7 +44,7 @@ def entries(s: SparkSession, d: str) -> DataFrame:
 
 
 def members(s: SparkSession, d: str) -> DataFrame:
-    c = T(s, d, "customer").filter(F.col("c_custkey") % 10 < 5)
+    c = T(s, d, "customer")
     return c.select(F.concat(F.lit("user-0"), (F.col("c_custkey") % 5).cast("string")).alias("user_id"), F.concat(F.lit("g"), (F.col("c_nationkey") % 3).cast("string")).alias("group_id")).distinct()
 
 
@@ -103,9 +103,9 @@ def upload_preflight(s: SparkSession, d: str) -> DataFrame:
     return library.preflight(uploads, a)
 
 
-_PREFIXES = "SELECT * FROM (VALUES (1, 'manuals', 'm'), (2, 'plans/2024', 'p24'), (3, 'plans', 'p'), (4, 'manuals', 'late')) t(pos, prefix, meta)"
-query("first_prefix_join", f"SELECT a.id, (SELECT min_by(meta, pos) FROM ({_PREFIXES}) m WHERE a.path = m.prefix OR starts_with(a.path, m.prefix || '/')) AS meta FROM (SELECT DISTINCT id, path FROM assets) a")(
-    lambda s, d: library.first_prefix(T(s, d, "assets").select("id", "path").distinct(), s.createDataFrame([(1, "manuals", "m"), (2, "plans/2024", "p24"), (3, "plans", "p"), (4, "manuals", "late")], "pos int, prefix string, meta string")).select("id", "meta")
+_PREFIXES = "SELECT * FROM (VALUES (1, 'man', 'm'), (2, 'plans/20', 'p20'), (3, 'plans', 'p'), (4, 'manuals', 'late'), (5, 'a', 'a'), (6, '', 'rest')) t(pos, prefix, meta)"
+query("first_prefix_join", f"SELECT a.id, (SELECT min_by(meta, pos) FROM ({_PREFIXES}) m WHERE starts_with(a.path, m.prefix)) AS meta FROM (SELECT DISTINCT id, path FROM assets) a")(
+    lambda s, d: library.first_prefix(T(s, d, "assets").select("id", "path").distinct(), s.createDataFrame([(1, "man", "m"), (2, "plans/20", "p20"), (3, "plans", "p"), (4, "manuals", "late"), (5, "a", "a"), (6, "", "rest")], "pos int, prefix string, meta string")).select("id", "meta")
 )
 query("purge_units", "SELECT DISTINCT id AS unit_id FROM content_units WHERE asset_id NOT IN (SELECT id FROM assets WHERE extraction_status = 'failed')")(
     lambda s, d: library.purge({"units": T(s, d, "content_units")}, T(s, d, "assets").filter("extraction_status = 'failed'").select(F.col("id").alias("asset_id")))["units"].select(F.col("id").alias("unit_id")).distinct()
@@ -115,17 +115,22 @@ query("upsert_translations", "SELECT tr_id, status FROM (SELECT DISTINCT tr_id,
 )
 
 # The pipeline.
-_DISK = "SELECT path, size_bytes, CASE WHEN size_bytes % 4 = 0 THEN mtime_ms + 1 ELSE mtime_ms END AS mtime_ms, CASE WHEN size_bytes % 9 = 0 THEN 'changed' ELSE content_hash END AS content_hash FROM (SELECT DISTINCT * FROM assets) WHERE size_bytes % 10 <> 0 UNION ALL SELECT 'fresh/' || path, size_bytes, mtime_ms, content_hash FROM (SELECT DISTINCT * FROM assets) WHERE size_bytes % 13 = 0"
+_FOUND = "CASE WHEN size_bytes % 4 = 0 THEN mtime_ms + 1 ELSE mtime_ms END AS mtime_ms, CASE WHEN size_bytes % 9 = 0 THEN 'changed' ELSE content_hash END AS content_hash, CASE WHEN size_bytes % 17 = 0 THEN 'other' ELSE kind END AS kind, size_bytes % 19 = 0 AS oversized"
+_DISK = f"SELECT path, size_bytes, {_FOUND} FROM (SELECT DISTINCT * FROM assets) WHERE size_bytes % 10 <> 0 UNION ALL SELECT 'fresh/' || path, size_bytes, {_FOUND} FROM (SELECT DISTINCT * FROM assets) WHERE size_bytes % 13 = 0"
 
 
 @query("scan_reconcile", f"""
-SELECT coalesce(d.path, a.path) AS path, CASE WHEN a.path IS NULL THEN 'insert' WHEN d.path IS NULL THEN 'delete'
-  WHEN CASE WHEN d.content_hash IS NOT NULL AND a.content_hash IS NOT NULL THEN d.content_hash = a.content_hash ELSE d.size_bytes IS NOT DISTINCT FROM a.size_bytes AND d.mtime_ms IS NOT DISTINCT FROM a.mtime_ms END THEN 'skip' ELSE 'update' END AS action
-FROM ({_DISK}) d FULL JOIN {_A} a ON a.path = d.path""")
+WITH j AS (SELECT coalesce(d.path, a.path) AS path, a.path IS NULL AS fresh, d.path IS NULL AS gone, a.source_id, a.extraction_status AS before, d.kind IN ('text', 'pdf', 'presentation', 'document', 'spreadsheet', 'image', 'video', 'audio', 'archive') AND NOT d.oversized AS can,
+  coalesce(d.content_hash, '') <> coalesce(a.content_hash, '') AND NOT d.oversized AS rehashed, d.size_bytes IS DISTINCT FROM a.size_bytes OR d.mtime_ms IS DISTINCT FROM a.mtime_ms OR d.kind IS DISTINCT FROM a.kind AS restated
+  FROM ({_DISK}) d FULL JOIN {_A} a ON a.path = d.path),
+r AS (SELECT *, CASE WHEN fresh THEN 'insert' WHEN gone AND source_id = 'src-07' THEN 'delete' WHEN gone THEN 'skip' WHEN rehashed OR restated THEN 'update' ELSE 'skip' END AS action FROM j)
+SELECT path, action, CASE WHEN action IN ('skip', 'delete') THEN before WHEN NOT coalesce(can, false) THEN 'skipped' WHEN fresh OR rehashed THEN 'pending' WHEN before IN ('done', 'failed') THEN before ELSE 'pending' END AS status,
+  coalesce(action IN ('insert', 'update') AND can AND (fresh OR rehashed), false) AS enqueue FROM r""")
 def scan_reconcile(s: SparkSession, d: str) -> DataFrame:
     a, n = T(s, d, "assets").distinct(), F.col("size_bytes")
-    kept = a.filter(n % 10 != 0).select("path", "size_bytes", F.when(n % 4 == 0, F.col("mtime_ms") + 1).otherwise(F.col("mtime_ms")).alias("mtime_ms"), F.when(n % 9 == 0, "changed").otherwise(F.col("content_hash")).alias("content_hash"))
-    return pipeline.reconcile(kept.unionByName(a.filter(n % 13 == 0).select(F.concat(F.lit("fresh/"), "path").alias("path"), "size_bytes", "mtime_ms", "content_hash")), a)
+    found = (F.when(n % 4 == 0, F.col("mtime_ms") + 1).otherwise(F.col("mtime_ms")).alias("mtime_ms"), F.when(n % 9 == 0, "changed").otherwise(F.col("content_hash")).alias("content_hash"), F.when(n % 17 == 0, "other").otherwise(F.col("kind")).alias("kind"), (n % 19 == 0).alias("oversized"))
+    kept = a.filter(n % 10 != 0).select("path", "size_bytes", *found)
+    return pipeline.reconcile(kept.unionByName(a.filter(n % 13 == 0).select(F.concat(F.lit("fresh/"), "path").alias("path"), "size_bytes", *found)), a, "src-07")
 
 
 _SINCE = 1500
@@ -156,11 +161,11 @@ query("recent_changes", "SELECT DISTINCT version, op, unit_id FROM index_log ORD
 _EDGES = "SELECT DISTINCT unit_id AS src, asset_id AS dst FROM unit_translations UNION SELECT DISTINCT asset_id, id FROM content_units WHERE ordinal <= 3 UNION SELECT DISTINCT id, asset_id FROM content_units WHERE ordinal > 3"
 
 
-@query("closure", f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT unit_id AS node FROM unit_translations WHERE tr_id % 40 = 0 UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT DISTINCT node FROM r")
+@query("closure", f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT unit_id AS node FROM unit_translations UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT DISTINCT node FROM r")
 def closure(s: SparkSession, d: str) -> DataFrame:
     tr, u = T(s, d, "unit_translations"), T(s, d, "content_units")
     e = tr.select(F.col("unit_id").alias("src"), F.col("asset_id").alias("dst")).unionByName(u.filter("ordinal <= 3").select(F.col("asset_id").alias("src"), F.col("id").alias("dst"))).unionByName(u.filter("ordinal > 3").select(F.col("id").alias("src"), F.col("asset_id").alias("dst"))).distinct()
-    return pipeline.closure(tr.filter("tr_id % 40 = 0").select(F.col("unit_id").alias("node")), e)
+    return pipeline.closure(tr.select(F.col("unit_id").alias("node")), e)
 
 
 # Text functions over whole columns.
@@ -179,7 +184,10 @@ query("embedding_input", f"SELECT id, CASE WHEN h = '' THEN b ELSE h || chr(10)
 query("upload_names", r"SELECT DISTINCT id, coalesce(nullif(right(regexp_replace(string_split(path, '/')[-1], '[^\p{L}\p{N}._-]+', '_', 'g'), 120), ''), 'file') AS name FROM assets")(lambda s, d: T(s, d, "assets").select("id", X.upload_name(F.col("path")).alias("name")).distinct())
 query("artifact_names", "SELECT DISTINCT id, coalesce(nullif(regexp_replace(regexp_replace(string_split(path, '/')[-1], '[^A-Za-z0-9_-]', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'export') AS name FROM assets")(lambda s, d: T(s, d, "assets").select("id", X.artifact_name(X.basename(F.col("path"))).alias("name")).distinct())
 _EXT = "lower(regexp_extract(path, '\\.([^./]+)$', 1))"
-query("scan_classify", f"SELECT DISTINCT id, CASE WHEN mime = 'application/pdf' THEN 'pdf' WHEN mime LIKE 'image/%' THEN 'image' WHEN mime LIKE 'video/%' THEN 'video' WHEN mime LIKE 'audio/%' THEN 'audio' ELSE CASE {_EXT} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in files.KINDS.items()) + " ELSE 'other' END END AS kind FROM assets")(
+query("scan_classify", f"""SELECT DISTINCT id, CASE WHEN mime = 'application/pdf' THEN 'pdf' WHEN mime LIKE 'image/%' THEN 'image' WHEN mime LIKE 'video/%' THEN 'video' WHEN mime LIKE 'audio/%' THEN 'audio'
+  WHEN {_EXT} IN ('pptx', 'ppt', 'key') THEN 'presentation' WHEN {_EXT} IN ('docx', 'doc') THEN 'document' WHEN {_EXT} IN ('xlsx', 'xls', 'numbers') THEN 'spreadsheet' WHEN {_EXT} = 'pdf' THEN 'pdf'
+  WHEN {_EXT} IN ('txt', 'md', 'markdown', 'csv', 'json', 'tex', 'bib', 'log') THEN 'text' WHEN {_EXT} IN ('png', 'jpg', 'jpeg', 'webp', 'gif', 'bmp', 'heic', 'tiff', 'svg') THEN 'image'
+  WHEN {_EXT} IN ('mp4', 'mov', 'mkv', 'avi', 'webm') THEN 'video' WHEN {_EXT} IN ('mp3', 'wav', 'flac', 'aac', 'm4a') THEN 'audio' WHEN {_EXT} IN ('epub', 'zip', '7z', 'rar', 'tar', 'gz') THEN 'archive' ELSE 'other' END AS kind FROM assets""")(
     lambda s, d: T(s, d, "assets").select("id", files.kind_of(F.col("path"), F.col("mime")).alias("kind")).distinct()
 )
 query("ignore_filter", "SELECT DISTINCT id, path FROM assets WHERE NOT (regexp_matches(path, '(^|/)\\.') OR regexp_matches(path, '(^|/)(node_modules|target|dist|data|__MACOSX)/') OR path LIKE '%.zip' OR starts_with(path, 'archiv/'))")(
@@ -198,11 +206,12 @@ query("html_to_text")(lambda s, d: T(s, d, "documents").select("doc_id", X.html_
 
 # Folds.
 _SEG = "(SELECT DISTINCT asset_id, start_ms, end_ms, text FROM content_units WHERE start_ms IS NOT NULL AND trim(coalesce(text, '')) <> '')"
-query("transcript_windows", f"""
+WINDOWS_SQL = f"""
 WITH RECURSIVE s AS (SELECT asset_id, start_ms AS s, end_ms AS e, trim(text) AS t, row_number() OVER (PARTITION BY asset_id ORDER BY start_ms, end_ms, trim(text)) AS r FROM {_SEG}),
 w AS (SELECT asset_id, r, s AS ws, e AS we, t AS wt, 1 AS no FROM s WHERE r = 1
   UNION ALL SELECT s.asset_id, s.r, CASE WHEN s.s - w.ws < 120000 THEN w.ws ELSE s.s END, CASE WHEN s.s - w.ws < 120000 THEN greatest(w.we, s.e) ELSE s.e END, CASE WHEN s.s - w.ws < 120000 THEN w.wt || ' ' || s.t ELSE s.t END, CASE WHEN s.s - w.ws < 120000 THEN w.no ELSE w.no + 1 END FROM w JOIN s ON s.asset_id = w.asset_id AND s.r = w.r + 1)
-SELECT asset_id, no::INTEGER AS window_no, max_by(ws, r) AS start_ms, max_by(we, r) AS end_ms, max_by(wt, r) AS text FROM w GROUP BY asset_id, no""")(
+SELECT asset_id, no::INTEGER AS window_no, max_by(ws, r) AS start_ms, max_by(we, r) AS end_ms, max_by(wt, r) AS text FROM w GROUP BY asset_id, no"""
+query("transcript_windows", WINDOWS_SQL)(
     lambda s, d: folds.transcript_windows(T(s, d, "content_units").filter("start_ms IS NOT NULL").select("asset_id", "start_ms", "end_ms", "text").distinct(), "asset_id", "start_ms", "end_ms", "text", 120_000)
 )
 query("batch_pack", f"""

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tessera.plans import data_queries, search_queries  # noqa: F401
+    from tessera.plans import data_queries, record_queries, search_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

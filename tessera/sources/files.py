@@ -14,11 +14,14 @@ OVERSIZE = 5 * 1024**3
 TEXT_CAP = 2 * 1024**2
 # Folders that are never entered, and kinds by extension.
 SKIPPED = ("node_modules", "target", "dist", "data", "__MACOSX")
-KINDS = {
-    "pdf": "pdf", "pptx": "presentation", "ppt": "presentation", "odp": "presentation", "key": "presentation", "docx": "document", "doc": "document", "odt": "document", "rtf": "document",
-    "xlsx": "spreadsheet", "xls": "spreadsheet", "ods": "spreadsheet", "txt": "text", "md": "text", "csv": "text", "json": "text", "log": "text", "png": "image", "jpg": "image", "jpeg": "image", "gif": "image",
-    "webp": "image", "heic": "image", "mp4": "video", "mov": "video", "mkv": "video", "webm": "video", "mp3": "audio", "wav": "audio", "m4a": "audio", "flac": "audio", "zip": "archive", "tar": "archive", "gz": "archive", "7z": "archive", "rar": "archive", "epub": "archive",
+_BY_KIND = {
+    "pdf": "pdf", "presentation": "pptx ppt key", "document": "docx doc", "spreadsheet": "xlsx xls numbers", "text": "txt md markdown csv json tex bib log", "image": "png jpg jpeg webp gif bmp heic tiff svg",
+    "video": "mp4 mov mkv avi webm", "audio": "mp3 wav flac aac m4a", "archive": "epub zip 7z rar tar gz",
 }
+KINDS = {ext: kind for kind, exts in _BY_KIND.items() for ext in exts.split()}
+# Kinds that text is taken from, and kinds whose pages can be picked for an export.
+EXTRACTABLE = ("text", "pdf", "presentation", "document", "spreadsheet", "image", "video", "audio", "archive")
+CROPPABLE = ("presentation", "pdf", "document")
 # First bytes of files, in hexadecimal, and their types.
 MAGIC = (("25504446", "application/pdf"), ("89504E47", "image/png"), ("FFD8FF", "image/jpeg"), ("47494638", "image/gif"), ("504B0304", "application/zip"), ("1F8B", "application/gzip"), ("377ABCAF", "application/x-7z-compressed"), ("52617221", "application/vnd.rar"), ("494433", "audio/mpeg"), ("D0CF11E0", "application/x-ole-storage"))
 
@@ -33,6 +36,21 @@ def kind_of(path: Column, mime: Column | None = None) -> Column:
     return F.when(mime == "application/pdf", "pdf").when(mime.startswith("image/"), "image").when(mime.startswith("video/"), "video").when(mime.startswith("audio/"), "audio").otherwise(by_name)
 
 
+def extractable(kind: Column, oversized: Column) -> Column:
+    """Whether text is taken from a file of the kind."""
+    return kind.isin(*EXTRACTABLE) & ~F.coalesce(oversized, F.lit(False))
+
+
+def selectable(kind: Column, unit_type: Column) -> Column:
+    """Whether a unit can be picked for an export: a page or slide of a file that can be taken apart."""
+    return kind.isin(*CROPPABLE) & unit_type.isin("page", "slide")
+
+
+def mounts(setting: str) -> list[str]:
+    """The folders of a setting that lists them with commas, wide ones too; blanks and empty entries don't count."""
+    return [x.strip() for x in re.split("[,，]", setting) if x.strip()]
+
+
 def sniff(content: Column) -> Column:
     head = F.hex(F.substring(content, 1, 8))
     out = F.lit(None).cast("string")

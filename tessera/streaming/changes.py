@@ -11,7 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.folds import debounce
-from tessera.operators.pipeline import last_ops
+from tessera.operators.pipeline import last_ops, reconcile
 
 LOG = "version long, op string, unit_id string, logged_at timestamp_ntz"
 
@@ -21,6 +21,25 @@ def log_stream(spark: SparkSession, folder: str, schema: str = LOG, files: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
+def file_events(events: DataFrame, kind: str, paths: str) -> DataFrame:
+    """File events, a row per path, with kind created, removed or modified (renamings too), from what a watcher reports (kind as
+    create/..., modify/..., remove/...). Changes of metadata alone are left out: reading a file makes them. A stream or a table alike."""
+    raw, known = F.col(kind), [c for c in events.columns if c not in (kind, paths)]
+    rows = events.filter(~F.coalesce(raw.startswith("modify/metadata"), F.lit(False)))
+    return rows.select(*known, F.when(raw.startswith("create"), "created").when(raw.startswith("remove"), "removed").otherwise("modified").alias("kind"), F.explode(paths).alias("path"))
+
+
+def write_reconciled(scans: DataFrame, known: Callable[[], DataFrame], apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Hands what each micro-batch of found files changes, against the files known at that time, to apply(frame, batch_id); deletions come
+    from full scans only, since a batch holds a part of the files. apply must be idempotent by batch_id."""
+
+    def step(batch: DataFrame, i: int) -> None:
+        now = known().join(batch.select("path").distinct(), "path", "left_semi")
+        apply(reconcile(batch, now).filter("action <> 'skip'"), i)
+
+    return scans.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
+
+
 def write_deltas(log: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Hands the last operation on each unit of every micro-batch to apply(frame, batch_id); apply must be idempotent by batch_id."""
     return log.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda f, i: apply(last_ops(f), i)).start()

@@ -31,10 +31,27 @@ def test_log(spark):
 
 
 def test_reconcile(spark):
-    s = "path string, size_bytes long, mtime_ms long, content_hash string"
-    disk = spark.createDataFrame([("a", 1, 1, "h"), ("b", 1, 2, None), ("c", 1, 1, "n"), ("new", 1, 1, None)], s)
-    known = spark.createDataFrame([("a", 9, 9, "h"), ("b", 1, 1, None), ("c", 1, 1, "o"), ("gone", 1, 1, None)], s)
-    assert {r[0]: r[1] for r in pipeline.reconcile(disk, known).collect()} == {"a": "skip", "b": "update", "c": "update", "new": "insert", "gone": "delete"}
+    found = "path string, size_bytes long, mtime_ms long, content_hash string, kind string, oversized boolean"
+    disk = spark.createDataFrame(
+        [("same", 1, 1, "h", "pdf", False), ("touched", 1, 2, "h", "pdf", False), ("changed", 1, 1, "n", "pdf", False), ("big", 1, 1, "n", "pdf", True), ("kind", 1, 1, None, "other", False), ("new", 1, 1, None, "pdf", None), ("odd", 1, 1, None, "other", False)], found
+    )
+    known = [("same", "h", "done"), ("touched", "h", "done"), ("changed", "o", "done"), ("big", "o", "done"), ("kind", None, "done"), ("gone", "h", "done"), ("others", "h", "failed")]
+    rows = [(p, 1, 1, h, "pdf", p == "big", st, "s2" if p == "others" else "s1") for p, h, st in known]
+    assets = spark.createDataFrame([*rows, rows[0]], found + ", extraction_status string, source_id string")
+    got = {r[0]: tuple(r)[1:] for r in pipeline.reconcile(disk, assets, "s1").collect()}
+    assert got == {
+        "same": ("skip", "done", False), "touched": ("update", "done", False), "changed": ("update", "pending", True), "big": ("skip", "done", False), "kind": ("update", "skipped", False),
+        "new": ("insert", "pending", True), "odd": ("insert", "skipped", False), "gone": ("delete", "done", False), "others": ("skip", "failed", False),
+    }
+    assert pipeline.reconcile(disk.limit(0), assets.limit(0)).count() == 0
+
+
+def test_log_entries_run_on(spark):
+    log = spark.createDataFrame([(7, "upsert", "x")], "version long, op string, unit_id string")
+    one = lambda *xs: spark.createDataFrame([(x,) for x in xs], "unit_id string")
+    got = [tuple(r) for r in pipeline.entries(log, one("b", "a"), one("c", "a")).orderBy("version").collect()]
+    assert got == [(8, "remove", "a"), (9, "remove", "b"), (10, "upsert", "a"), (11, "upsert", "c")]
+    assert pipeline.entries(log, one().limit(0), one().limit(0)).count() == 0
 
 
 def test_closure(spark):

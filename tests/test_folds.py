@@ -41,6 +41,9 @@ def test_interleave(spark):
 
 def test_completions(spark):
     assert folds.completions_of("quay", "The quayside, a Quay-crane. quay") == ["quayside", "Quay-crane"]
+    assert folds.completions_of("港口", "港 口起重机，港口 ") == ["港 口起重机"]
+    assert folds.completions_of("a b", "xx A\u3000B c") == [] and folds.completions_of(" ", "a") == [] and folds.completions_of("a", None) == []
+    assert folds.completions_of("ab", "abc abd abe abf abg") == ["abc", "abd", "abe", "abf"]
     df = spark.createDataFrame([("quayside quayside",), ("quays",), (None,)], "t string")
     assert [tuple(r) for r in folds.completions(df, "t", "quay").collect()] == [("quayside", 2), ("quays", 1)]
 
@@ -59,12 +62,15 @@ def test_layout():
 def test_page_blocks(spark):
     rows = [("d", 1, t, x, y, w, 10.0, 10.0, False) for t, x, y, w in (("Title over all", 20.0, 10.0, 560.0), ("left one", 20.0, 100.0, 200.0), ("left two", 20.0, 112.0, 200.0), ("right one", 400.0, 90.0, 180.0))]
     df = spark.createDataFrame(pd.DataFrame(rows, columns=["doc", "page", "text", "left", "top", "width", "height", "size", "bold"]))
-    assert [r["text"] for r in page_blocks(df, 600.0, 800.0).orderBy("block").collect()] == ["Title over all", "left one left two", "right one"]
+    assert [r["text"] for r in page_blocks(df, 600.0, 800.0).orderBy("block").collect()] == ["Title over all", "right one", "left one left two"]
 
 
 def test_tables_and_margins():
     cells = [p(f"c{i}{k}", 10 + 60 * k, 20 * i, 40) for i in range(4) for k in range(2)]
-    assert table_starts(cells) == [10, 70]
-    assert table_starts([p(f"l{i}", 10, 20 * i, 200) for i in range(5)]) == [] and table_starts([]) == []
+    assert table_starts(lines_of(cells)) == [10, 70]
+    assert table_starts(lines_of([p(f"l{i}", 10, 20 * i, 200) for i in range(5)])) == [] and table_starts([]) == []
+    # A row after the table takes over its columns, a block of symbols is dropped, a paragraph stays whole.
+    rows = [p(f"c{i}{k}", 10 + 60 * k, 12 * i, 40) for i in range(3) for k in range(2)] + [p("x", 10, 100, 40), p("y", 70, 100, 40), p("× ✓", 10, 200, 30), p("plain words", 10, 300, 90)]
+    assert [b.text for b in blocks_of(lines_of(rows))] == ["c00 c10 c20", "c01 c11 c21", "x", "y", "plain words"]
     assert in_margin(p("Head", 0, 5), 800, 10) == "header" and in_margin(p("3 / 10", 0, 780), 800, 10) == "footer"
     assert in_margin(p("x" * 200, 0, 780), 800, 10) is None and in_margin(p("body", 0, 400), 800, 10) is None

@@ -22,8 +22,8 @@ def test_refs(spark):
 
 
 def test_tool_answers(spark):
-    assert R.collected_text('{"res": [{"rec_texts": ["a", "b", 3]}], "model": "m"}') == "a\nb"
-    assert R.collected_text('{"x": {"text": "hello", "model": "skip", "u": "http://x"}, "y": ["w"]}') == "hello\nw"
+    assert R.collected_text('{"result": {"ocrResults": [{"prunedResult": {"rec_texts": [" a", "b ", 3, " "]}}, {}]}, "modelName": "m"}') == "a b"
+    assert R.collected_text('{"y": ["w"], "x": {"text": "hello", "modelName": "skip", "u": "http://x", "box": ["no"]}}') == "hello w"
     assert R.collected_text("no json") is None and R.collected_text(None) is None
     f = spark.range(1).select(R.media_facts(F.lit('{"format":{"duration":"1.5","tags":{"t":"v"}},"streams":[{"codec_type":"video","codec_name":"h264","width":2,"height":1}]}')).alias("m")).first()["m"]
     assert f["format"]["duration"] == "1.5" and f["streams"][0]["width"] == 2

@@ -32,3 +32,16 @@ def test_rescans_match_batch_twin(spark, tmp_path):
 def test_progress(spark):
     a = spark.createDataFrame([("done",), ("running",), (None,)], "extraction_status string")
     assert tuple(changes.progress(spark, a, 7).first()) == (3, 1, 1, 7)
+
+
+def test_reconciled_in_batches(spark, tmp_path):
+    """Found files come in batches; each is held against what is known, and nothing is deleted for being absent from a batch."""
+    found = "path string, size_bytes long, mtime_ms long, content_hash string, kind string, oversized boolean"
+    folder = str(tmp_path / "scans")
+    for rows in ([("a", 1, 1, "h", "pdf", False)], [("b", 1, 1, "n", "pdf", False), ("c", 1, 1, None, "pdf", False)]):
+        spark.createDataFrame(rows, found).coalesce(1).write.mode("append").parquet(folder)
+    known = spark.createDataFrame([(p, 1, 1, "h", "pdf", False, "done", "s") for p in "abz"], found + ", extraction_status string, source_id string")
+    seen = []
+    q = changes.write_reconciled(spark.readStream.schema(found).option("maxFilesPerTrigger", 1).parquet(folder), lambda: known, lambda f, i: seen.extend(tuple(r) for r in f.collect()), str(tmp_path / "cp"))
+    q.awaitTermination(120)
+    assert sorted(seen) == [("b", "update", "pending", True), ("c", "insert", "pending", True)]
