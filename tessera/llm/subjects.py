@@ -26,11 +26,11 @@ from tessera.session import cut_lineage, spread
 BUCKETS, WIDTH = 1 << 16, 12
 #: Documents to fit on, at most, and how many of them a word must occur in; partitions that share the work, steps, and from which of them
 #: on sentences have targets of their own.
-SAMPLE, LEAST_DOCUMENTS, SHARDS, STEPS, REFINE = 4000, 2, 4, 30, 12
+SAMPLE, LEAST_DOCUMENTS, SHARDS, STEPS, REFINE = 5000, 2, 4, 30, 8
 #: Share of a document's sentences that makes it about a subject, and the probability from which a sentence is.
 SHARE, SURE = 0.25, 0.4
 #: Probability from which a training sentence shows a subject.
-SHOWN = 0.5
+SHOWN = 0.4
 _URL = re.compile(r"\S+://\S+|\S+@\S+")
 _RUN = re.compile(r"[㐀-鿿]+|[ァ-ヺー]+|[^\W\d_぀-ヿ㐀-鿿]+")
 
