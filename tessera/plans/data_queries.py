@@ -200,9 +200,12 @@ query("mojibake_ratio", f"SELECT id, round(len(regexp_extract_all({_SOLID}, '{_O
     lambda s, d: T(s, d, "content_units").distinct().filter(F.length(F.regexp_replace("text", r"\s+", "")) > 0).select("id", F.round(X.implausible_ratio(F.col("text")), 6).alias("ratio"))
 )
 query("page_numbers", r"SELECT DISTINCT block_id, coalesce(regexp_matches(trim(text), '^-?\s*\d+\s*-?$|^\d+\s*/\s*\d+$'), false) AS is_number FROM page_blocks")(lambda s, d: T(s, d, "page_blocks").select("block_id", F.coalesce(X.is_page_number(F.col("text")), F.lit(False)).alias("is_number")).distinct())
-query("cjk_join")(lambda s, d: T(s, d, "content_units").distinct().select("id", X.join_runs(F.split(F.coalesce("text", F.lit("")), "\n")).alias("joined")))
+_WIDE = "⺀-鿿가-힯豈-﫿＀-￯—‘’“”…"
+query("cjk_join", f"SELECT id, replace(regexp_replace(regexp_replace(j, '([{_WIDE}])' || chr(1) || '([{_WIDE}])', '\\1\\2', 'g'), '([{_WIDE}])' || chr(1) || '([{_WIDE}])', '\\1\\2', 'g'), chr(1), ' ') AS joined FROM (SELECT id, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^{_SP}+|{_SP}+$', '', 'g')), lambda x: x <> ''), chr(1)) AS j FROM {_U})")(lambda s, d: T(s, d, "content_units").distinct().select("id", X.join_runs(F.split(F.coalesce("text", F.lit("")), "\n")).alias("joined")))
 query("glyph_spacing")(lambda s, d: T(s, d, "content_units").distinct().select("id", X.glyph_spacing(F.col("text")).alias("text")))
-query("html_to_text")(lambda s, d: T(s, d, "documents").select("doc_id", X.html_to_text_udf(F.concat(F.lit("<html><head><title>x</title></head><body><p>"), F.replace("text", F.lit("\n"), F.lit("</p><p>")), F.lit("</p><script>no</script></body></html>"))).alias("text")))
+query("html_to_text", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '[^\\x{21}-\\x{24F}\\x{370}-\\x{52F}\\x{3040}-\\x{9FFF}\\x{AC00}-\\x{D7AF} \\n]+', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM (SELECT doc_id, regexp_replace(text, '[\\x{7F}-\\x{A0}]+', '', 'g') AS text FROM documents)")(
+    lambda s, d: T(s, d, "documents").select("doc_id", F.regexp_replace(F.regexp_replace("text", r"[\x{7F}-\x{A0}]+", ""), r"[^\x{21}-\x{24F}\x{370}-\x{52F}\x{3040}-\x{9FFF}\x{AC00}-\x{D7AF} \n]+", "").alias("t")).select("doc_id", X.html_to_text_udf(F.concat(F.lit("<html><head><title>x</title></head><body><p>"), F.replace(F.replace(F.replace("t", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("</p><p>")), F.lit("</p><script>no</script></body></html>"))).alias("text"))
+)
 
 # Folds.
 _SEG = "(SELECT DISTINCT asset_id, start_ms, end_ms, text FROM content_units WHERE start_ms IS NOT NULL AND trim(coalesce(text, '')) <> '')"
@@ -233,7 +236,11 @@ def _caps(s: SparkSession, d: str) -> DataFrame:
     return folds.accepted_entries(rows, "source_id", "pos", "size_bytes", 40, 2_000_000)
 
 
-query("debounce")(lambda s, d: folds.debounced(T(s, d, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t")), "user_id", "t", 7_200_000, 18_000_000))
+query("debounce", """
+WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS r FROM events WHERE ts IS NOT NULL),
+f AS (SELECT user_id, r, t AS first, t AS last, 1 AS n, 1 AS burst FROM e WHERE r = 1
+  UNION ALL SELECT e.user_id, e.r, CASE WHEN e.t >= least(f.last + 7200000, f.first + 18000000) THEN e.t ELSE f.first END, e.t, CASE WHEN e.t >= least(f.last + 7200000, f.first + 18000000) THEN 1 ELSE f.n + 1 END, CASE WHEN e.t >= least(f.last + 7200000, f.first + 18000000) THEN f.burst + 1 ELSE f.burst END FROM f JOIN e ON e.user_id IS NOT DISTINCT FROM f.user_id AND e.r = f.r + 1)
+SELECT user_id, min(first) AS first_ms, least(max(last) + 7200000, min(first) + 18000000) AS fired_ms, max(n)::BIGINT AS events FROM f GROUP BY user_id, burst""")(lambda s, d: folds.debounced(T(s, d, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t")), "user_id", "t", 7_200_000, 18_000_000))
 query("translation_regroup", "SELECT DISTINCT tr_id, title, text FROM unit_translations WHERE title IS NOT NULL OR text IS NOT NULL")(
     lambda s, d: folds.regroup(T(s, d, "unit_translations").select("tr_id", F.inline(F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("value")), F.struct(F.lit("text").alias("field"), F.col("text").alias("value"))))).filter("value IS NOT NULL"), "tr_id")
 )

@@ -201,7 +201,19 @@ def hydrate_hits(s: SparkSession, d: str) -> DataFrame:
     return search.hydrate(units.select(F.col("id").alias("unit_id")).distinct(), units)
 
 
-@query("suggest_interleave")
+_SUGGEST = search.phrases("glac", prefix=True)
+_SUGGEST_TR = match_sql([Phrase(p.tokens, p.prefix, ("title", "text")) for p in _SUGGEST], "(SELECT DISTINCT unit_id || chr(1) || tr_id AS id, title, text FROM unit_translations)", ("title", "text"))
+
+
+@query("suggest_interleave", f"""
+WITH RECURSIVE o AS (SELECT id AS unit_id, row_number() OVER (ORDER BY round(score, 6) DESC, id) - 1 AS k FROM ({match_sql(_SUGGEST)}) QUALIFY k < 20),
+t AS (SELECT unit_id, row_number() OVER (ORDER BY round(score, 6) DESC, unit_id) - 1 AS k FROM (SELECT string_split(id, chr(1))[1] AS unit_id, max(score) AS score FROM ({_SUGGEST_TR}) GROUP BY 1) QUALIFY k < 10),
+u AS (SELECT DISTINCT id AS unit_id, asset_id FROM content_units),
+s AS (SELECT unit_id, asset_id, row_number() OVER (ORDER BY slot, unit_id) AS n FROM (SELECT unit_id, k + ceil(k / 2.0) AS slot FROM o UNION ALL SELECT unit_id, 3 * k + 1 FROM t) JOIN u USING (unit_id)),
+p AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS units, []::VARCHAR[] AS files, NULL::VARCHAR AS unit_id, NULL::VARCHAR AS asset_id, false AS taken
+  UNION ALL SELECT s.n, CASE WHEN ok THEN list_append(units, s.unit_id) ELSE units END, CASE WHEN ok THEN list_append(files, s.asset_id) ELSE files END, s.unit_id, s.asset_id, ok
+  FROM (SELECT p.n, p.units, p.files, s.n AS m, len(p.units) < 20 AND NOT list_contains(p.units, s.unit_id) AND NOT (len(p.units) < 3 AND list_contains(p.files, s.asset_id)) AS ok FROM p JOIN s ON s.n = p.n + 1) x JOIN s ON s.n = x.m)
+SELECT unit_id, asset_id, len(units) - 1 AS slot FROM p WHERE taken""")
 def suggest_interleave(s: SparkSession, d: str) -> DataFrame:
     """As-you-type suggestions for a prefix."""
     units = T(s, d, "content_units")
@@ -212,7 +224,14 @@ def suggest_interleave(s: SparkSession, d: str) -> DataFrame:
     return folds.interleave(own.join(of, "unit_id"), search.ranked(hits, "translation", 1, 10).join(of, "unit_id"))
 
 
-@query("completions")
+_CUT = "[^ \\t，。、；：？！…—·,.;:?!()（）\\[\\]【】<>《》\"''`\\n\\r]"
+
+
+@query("completions", f"""
+WITH u AS (SELECT DISTINCT id, text FROM content_units WHERE text IS NOT NULL), p AS (SELECT id, text, unnest(range(1, length(text) + 1)) AS pos FROM u WHERE regexp_matches(text, '(?i)g\\s*a\\s*n\\s*t')),
+m AS (SELECT substr(text, pos, 40) AS rest, row_number() OVER (PARTITION BY id ORDER BY pos) AS k FROM p WHERE lower(substr(text, pos, 1)) = 'g' AND regexp_matches(substr(text, pos, 60), '^(?i)g\\s*a\\s*n\\s*t')),
+f AS (SELECT regexp_replace(regexp_extract(rest, '^(?s).{{4}}{_CUT}{{0,12}}'), '^\\s+|\\s+$', '', 'g') AS phrase FROM m WHERE k <= 4)
+SELECT phrase, count(*) AS n FROM f WHERE length(phrase) > 4 AND length(phrase) <= 24 GROUP BY phrase ORDER BY n DESC, length(phrase), phrase LIMIT 8""")
 def completions(s: SparkSession, d: str) -> DataFrame:
     """What most often follows a typed text."""
     return folds.completions(T(s, d, "content_units").select("id", "text").distinct(), "text", "gant")
