@@ -48,6 +48,17 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split(table(spark, d, "content_units"), "id", "text", 4000, 200).withColumnRenamed("id", "unit_id")
 
 
+_BLANK = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_NO_LINE = _BLANK.replace(r"\x{09}-\x{0D}", r"\x{09}\x{0B}-\x{0D}")
+# A level is enough when nothing between two of its boundaries is longer than the limit.
+SQL["p4_found"] = rf"""
+WITH t AS (SELECT DISTINCT id, regexp_replace(text, '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g') AS t FROM content_units WHERE length(text) > 4000),
+p AS (SELECT id, t, regexp_replace(t, '\n[{_NO_LINE}]*(\n[{_NO_LINE}]*)+', chr(1), 'g') AS p FROM t WHERE length(t) > 4000),
+s AS (SELECT id, t, p, regexp_replace(regexp_replace(p, '([.!?])[{_BLANK}]+', '\1' || chr(1), 'g'), '([。！？])[{_BLANK}]*', '\1' || chr(1), 'g') AS s, regexp_replace(t, '[{_BLANK}]+', chr(1), 'g') AS w FROM p),
+m AS (SELECT id, list_max(list_transform(string_split(p, chr(1)), lambda x: length(x))) AS lp, list_max(list_transform(string_split(s, chr(1)), lambda x: length(x))) AS ls, list_max(list_transform(string_split(w, chr(1)), lambda x: length(x))) AS lw FROM s)
+SELECT id AS unit_id, CASE WHEN lp <= 4000 THEN 'paragraph' WHEN ls <= 4000 THEN 'sentence' WHEN lw <= 4000 THEN 'word' ELSE 'hard' END AS cut FROM m"""
+
+
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from tessera.llm.boilerplate import find_repeated
