@@ -38,7 +38,10 @@ _RUN = re.compile(r"[㐀-鿿]+|[ァ-ヺー]+|[^\W\d_぀-ヿ㐀-鿿]+")
 def tokens(sentence: str) -> list[str]:
     """Words in lower case; of Han runs, their pairs of adjacent characters; katakana runs; hiragana, digits and links are left out."""
     out = []
-    for w in _RUN.findall(_URL.sub(" ", sentence.lower())):
+    plain = sentence.lower()
+    if "@" in plain or "://" in plain:
+        plain = _URL.sub(" ", plain)
+    for w in _RUN.findall(plain):
         if "㐀" <= w[0] <= "鿿":
             out += [w[i : i + 2] for i in range(len(w) - 1)] or [w]
         else:
