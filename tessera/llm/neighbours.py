@@ -8,7 +8,7 @@ Vectors travel as 24-bit fixed-point numbers, as exact as 32-bit floats are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.session import spread
+from tessera.session import cut_lineage, spread
 
 #: Vectors that the routing tree is fitted on, at most; the tree only routes, every vector is indexed.
 SAMPLE = 50_000
@@ -251,20 +251,95 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int, min_cos: flo
     vectors = units.groupBy("key").agg(F.min("id").alias("id"))
     pairs = similar_pairs(units, n, usable(some, key, vector, dim).select("unit").distinct(), dim, min_cos, k, factor)
     both = pairs.select("cos", F.inline(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).select("a", "b", "cos")
-    # The members of a group that can be among the k nearest of anything are its k + 1 smallest keys.
-    members = first_members(vectors, k + 1)
     # k groups hold at least k members; ties stay until their keys decide.
     best = both.withColumn("_r", F.rank().over(W.partitionBy("a").orderBy(F.desc("cos")))).filter(F.col("_r") <= k)
+    return _answers(best.select("a", "b", "cos"), vectors, vectors, k)
+
+
+def _answers(links: DataFrame, asked: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(key, neighbour, cos, rank) of the asked keys (key, id) from links (a, b, cos) between different vectors, over all their keys."""
+    # The members of a group that can be among the k nearest of anything are its k + 1 smallest keys.
+    members = first_members(vectors, k + 1)
     # Only groups of several members are near themselves.
     several = members.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).cast("float").alias("cos"))
-    links = best.select("a", "b", "cos").unionByName(several)
-    asked = vectors.select(F.col("id").alias("a"), F.col("key"))
-    rows = links.join(members.select(F.col("id").alias("b"), F.col("key").alias("neighbour")), "b").select("a", "neighbour", "cos")
+    rows = links.unionByName(several).join(members.select(F.col("id").alias("b"), F.col("key").alias("neighbour")), "b").select("a", "neighbour", "cos")
     near = _ranked(rows, "a", k + 1)  # bounded: k + 1 per group, one of which may be the asking key itself
-    out = asked.join(near, "a").filter(F.col("key") != F.col("neighbour"))
+    out = asked.select(F.col("id").alias("a"), "key").join(near, "a").filter(F.col("key") != F.col("neighbour"))
     return _ranked(out.select("key", "neighbour", "cos"), "key", k)
 
 
+#: Least similarities that are asked for one after the other by those vectors that have fewer than k neighbours above the one before.
+FLOORS = (0.88, 0.6, 0.2, -1.0)
+#: The relaxation for asked vectors: they alone reach over an edge, and neighbours far away need a wider reach than close ones.
+ASKED_FACTOR = 4.0
+
+
+def nearest_of(df: DataFrame, asked: DataFrame, key: str, vector: str, dim: int, k: int, factor: float = ASKED_FACTOR, sample: int = SAMPLE, shard: int = SHARD, floors: tuple[float, ...] = FLOORS) -> DataFrame:
+    """(key, neighbour, cos, rank): the k others most similar to each of the asked rows (a part of df), however unlike they are.
+
+    Vectors lie in their own shard; an asked one visits every shard that the relaxed inequality leaves for the least similarity of the round,
+    and gets the k best of each. Those with k neighbours leave; the others go on with a lower one. factor 1 is exact. Fewer than k only
+    where df has fewer others. Keys, equal vectors and ties as in nearest().
+    """
+    n = df.count()
+    wanted = min(sample, max(2000, 100 << depth_for(n, shard)))
+    some = df.filter(F.pmod(F.xxhash64(F.col(f"`{vector}`").cast("array<float>")), F.lit(1 << 30)) < F.lit(int(min(1.0, wanted / max(n, 1)) * (1 << 30))))
+    depth = depth_for(n, shard)
+    tree = routing_tree(unit_vectors(usable(some, key, vector, dim).select("unit").distinct().toArrow().column("unit"), dim), depth) if depth else 0
+    units = usable(df, key, vector, dim)
+    vectors = units.groupBy("key").agg(F.min("id").alias("id"))
+    questions = usable(asked, key, vector, dim)
+    keys = questions.groupBy("key").agg(F.min("id").alias("id"))
+    open_ = cut_lineage(questions.select("id", "unit").dropDuplicates(["id"]))
+
+    def routed(slack: float, own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                rows, shards = route(tree, unit_vectors(batch.column(1), dim), slack)
+                yield pa.RecordBatch.from_arrays([pa.array(shards), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(np.full(len(rows), own))], names=["shard", "id", "unit", "own"])
+
+        return go
+
+    def meet(floor: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            whole = [b for b in batches if b.num_rows]
+            if not whole:
+                return
+            rows = pa.Table.from_batches(whole)
+            own = rows.column("own").to_numpy()
+            x, q = rows.filter(pa.array(own)), rows.filter(pa.array(~own))
+            if not x.num_rows or not q.num_rows:
+                return
+            ids, first = np.unique(x.column("id").to_numpy(), return_index=True)
+            asks, place = np.unique(q.column("id").to_numpy(), return_index=True)
+            best = Best(len(asks), k + 1)  # one of them may be the vector itself
+            for i, j, c in search(unit_vectors(x.column("unit").take(pa.array(first)), dim), unit_vectors(q.column("unit").take(pa.array(place)), dim), floor, factor):
+                best.add(i, j, c)
+            i, j, c = best.cut()
+            other = asks[i] != ids[j]
+            yield pa.RecordBatch.from_arrays([pa.array(asks[i][other]), pa.array(ids[j][other]), pa.array(c[other].astype(np.float32))], names=["a", "b", "cos"])
+
+        return go
+
+    links, schema = None, "shard int, id long, unit binary, own boolean"
+    for floor in floors:
+        radius = float(np.sqrt(max(0.0, 2.0 - 2.0 * floor)))
+        index = units.select("id", "unit").mapInArrow(routed(0.0, True), schema)
+        visits = open_.mapInArrow(routed(radius / factor, False), schema)
+        met = index.unionByName(visits).repartitionById(1 << depth, "shard").mapInArrow(meet(floor), "a long, b long, cos float")
+        r = F.rank().over(W.partitionBy("a").orderBy(F.desc("cos")))
+        found = cut_lineage(met.withColumn("_r", r).filter(F.col("_r") <= k).select("a", "b", "cos"))
+        full = found.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select(F.col("a").alias("id"))
+        done = found.join(full.withColumnRenamed("id", "a"), "a", "left_semi") if floor > floors[-1] else found
+        links = done if links is None else links.unionByName(done)
+        open_ = cut_lineage(open_.join(full, "id", "left_anti"))
+        if open_.isEmpty():
+            break
+    return _answers(links, keys, vectors, k)
+
+
 def first_members(vectors: DataFrame, n: int) -> DataFrame:
     """(id, key) of the n smallest keys of every id, taken in two steps so that a group with a third of all rows meets nowhere."""
     salted = vectors.select("id", "key", F.pmod(F.hash("key"), F.lit(64)).alias("salt"))

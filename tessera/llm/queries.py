@@ -120,6 +120,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("key", "neighbour").alias("vec_key_a"), F.greatest("key", "neighbour").alias("vec_key_b")).distinct()
 
 
+@query
+def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest of every vector whose key's hash is divisible by 50, against all, however unlike."""
+    from tessera.llm.neighbours import nearest_of
+
+    v = vectors_of_units(spark, d)
+    return nearest_of(v, v.filter(F.pmod(F.xxhash64("vec_key"), F.lit(50)) == 0), "vec_key", "vector", 64, 5).select(F.col("key").alias("vec_key"), "neighbour", F.round("cos", 4).alias("cos"), "rank")
+
+
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     from tessera.llm.versions import version_links

@@ -313,3 +313,22 @@ def test_all_copies_on_demand(spark):
     text = " ".join(f"x{i}" for i in range(80))
     df = spark.createDataFrame([(f"k{i:03}", None, text) for i in range(70)], "id string, title string, text string")
     assert V.version_links(df, "id", "title", "text", whole=None).count() == 70 * 69 // 2
+
+
+def test_nearest_of_some_without_a_floor(spark):
+    """Every asked vector gets its k, near or far; factor 1 is exact."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([np.repeat(rng.normal(size=(30, 16)), 8, axis=0) + rng.normal(size=(240, 16)) * 0.1, rng.normal(size=(360, 16))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit @ unit.T
+    np.fill_diagonal(s, -2)
+    rows = [(f"v{i:03}", v.tolist()) for i, v in enumerate(x)] + [("bad", None), ("v000", x[0].tolist())]
+    df = spark.createDataFrame(rows, "k string, v array<double>").withColumn("id", F.lit(1))
+    asked = df.filter(F.col("k").isin([f"v{i:03}" for i in range(0, 600, 7)] + ["bad"]))
+    want = {(f"v{i:03}", f"v{j:03}") for i in range(0, 600, 7) for j in np.argsort(-s[i])[:5]}
+    for factor, least in ((1.0, 1.0), (N.ASKED_FACTOR, 0.9)):
+        got = [(r["key"], r["neighbour"]) for r in N.nearest_of(df, asked, "k", "v", 16, 5, factor, shard=64).collect()]
+        assert len(got) == len(want) and len({*got} & want) >= least * len(want)
+    assert N.nearest_of(df, asked.limit(0), "k", "v", 16, 5).count() == 0
+    few = N.nearest_of(df.filter("k IN ('v000', 'v001', 'v300')"), df.filter("k = 'v000'"), "k", "v", 16, 5)
+    assert few.count() == 2
