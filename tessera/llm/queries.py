@@ -86,6 +86,13 @@ WHERE n >= 3 AND n >= 0.15 * assets
 """
 
 
+SQL["p5_clean"] = f"""
+WITH f AS ({SQL["p5_found"]}), b AS (SELECT DISTINCT block_id, source_id, asset_id, text FROM page_blocks),
+x AS (SELECT block_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM b WHERE text IS NOT NULL),
+k AS (SELECT x.block_id, string_agg(line, chr(10) ORDER BY x.line_no) FILTER (WHERE f.block_id IS NULL) AS kept, count(f.block_id) AS gone FROM x LEFT JOIN f ON f.block_id = x.block_id AND f.line_no = x.line_no GROUP BY x.block_id)
+SELECT b.block_id, CASE WHEN b.text IS NOT NULL THEN coalesce(k.kept, '') END AS clean_text, coalesce(k.gone, 0)::INTEGER AS removed FROM b LEFT JOIN k USING (block_id)"""
+
+
 @query
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from tessera.llm.encode import encode

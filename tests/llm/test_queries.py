@@ -18,7 +18,7 @@ def test_same_as_sql(spark, name):
         c.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{folder}/{f}'")
     want = c.sql(Q.SQL[name])
     got = Q.QUERIES[name](spark, folder).select(*want.columns)
-    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
 
 
 def test_all_ids(spark):
