@@ -178,8 +178,9 @@ def snippets(text: Column, wanted: Sequence[Phrase], width: int = 12) -> Column:
     return cut(text)
 
 
-#: Numbers of a vector up to which a dot product is one generated expression; beyond, it is worked out in Arrow batches.
-UNROLLED = 256
+#: Numbers of a vector up to which a dot product is one generated expression; longer ones make methods too large to be compiled, and are
+#: worked out in Arrow batches.
+UNROLLED = 16
 
 
 def dot(vector: Column, asked: Sequence[float]) -> Column:
@@ -190,6 +191,8 @@ def dot(vector: Column, asked: Sequence[float]) -> Column:
 
     @F.pandas_udf(T.DoubleType())
     def product(v: pd.Series) -> pd.Series:
+        if len(v) and (v.map(len) == len(q)).all():
+            return pd.Series(np.stack(v.to_numpy()).astype(np.float64) @ q, index=v.index)
         return pd.Series([float(np.dot(np.asarray(x, dtype=np.float64)[: len(q)], q[: len(x)])) for x in v], index=v.index)
 
     return product(vector)
